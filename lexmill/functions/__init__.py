@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Column functions: text extraction and cleaning, chat messages, number formats, learning-rate schedules."""

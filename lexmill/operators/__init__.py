@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Relational operators: quotas, packing, dedup and decontamination, splits and mixing, benchmarks, perplexity, logs."""

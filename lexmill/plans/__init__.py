@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Plans: whole corpus builds, artifacts with manifests, validation and resumption."""

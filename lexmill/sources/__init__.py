@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Sources: JSONL folders, token binaries, chat sources, and generated tables."""
