@@ -87,8 +87,12 @@ def utf8_cut(text: Column, size: Column) -> Column:
 def grams(text: Column, n: int = 13) -> Column:
     """The distinct n-grams of runs of a-z and 0-9 in the lower-cased text, joined by spaces; none for fewer than n words."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
-    made = F.transform(found, lambda w, i: F.when(i <= F.size(found) - n, F.array_join(F.slice(found, i + 1, n), " ")))
-    return F.array_distinct(F.filter(made, lambda g: g.isNotNull()))
+
+    def made(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: i <= F.size(w) - n + 1)
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    return F.element_at(F.transform(F.array(found), made), 1)  # the words are found once, not for each n-gram
 
 
 def duration(seconds: Column) -> Column:

@@ -64,7 +64,7 @@ def repeated(rows: DataFrame, times: int) -> DataFrame:
 
 def arithmetic(spark: SparkSession, most: int = 30) -> DataFrame:
     """(user, assistant): sums of all pairs of 0..most, and the differences that are not negative."""
-    pairs = spark.range(most + 1).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(most))).cast("long").alias("b"))
+    pairs = spark.range(most + 1).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long"))).alias("b"))
     text = lambda sign, value: (F.concat(F.lit("What is "), F.col("a").cast("string"), F.lit(f" {sign} "), F.col("b").cast("string"), F.lit("?")).alias("user"), value.cast("string").alias("assistant"))
     return pairs.select(*text("+", F.col("a") + F.col("b"))).unionByName(pairs.where("a >= b").select(*text("-", F.col("a") - F.col("b"))))
 
