@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,14 +28,18 @@ def training_paths(spark: SparkSession, path: str) -> list[str]:
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, ord, value): every line of the files with its place in its file, blank lines too. Each file is one task's."""
-    places = {p.rsplit("/", 1)[-1]: i for i, p in enumerate(paths)}
+    """(file, ord, value): every line of the files, blank ones too, with its file's place and its own.
+
+    Lines are numbered within the splits that files are read in, and from the counts of the splits before.
+    """
     if not paths:
         return spark.createDataFrame([], "file int, ord long, value string")
-    whole = spark.read.option("wholetext", True).text(paths).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
-    names = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])
-    ended = F.regexp_replace("value", r"\r?\n\z", "")
-    return whole.where(F.length("value") > 0).select(names[F.col("name")].alias("file"), F.posexplode(F.split(ended, r"\r?\n")).alias("ord", "value")).select("file", F.col("ord").cast("long").alias("ord"), "value")
+    places = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], i)])
+    read = spark.read.text(paths).select("value", places[F.col("_metadata.file_name")].alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("turn"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = read.groupBy("file", "split").agg(F.count("*").alias("n")).select("file", "split", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "split").orderBy("turn"))
+    return read.withColumn("i", inside).join(splits, ["file", "split"]).select("file", (F.col("before") + F.col("i") - 1).alias("ord"), "value")
 
 
 def not_blank(line: Column) -> Column:

@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Structured Streaming: what a batch build does to a folder, done to files as they arrive (an extension)."""
