@@ -39,7 +39,7 @@ HAND = [
 
 
 def hand_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HAND, f"ord long, messages {MESSAGE}")
+    return spark.createDataFrame(HAND, f"ord int, messages {MESSAGE}")
 
 
 HAND_SQL = S.values([(i, [{"role": r, "content": c} for r, c in m]) for i, m in HAND], "ord, messages")
@@ -92,7 +92,7 @@ FROM (SELECT ord, {S.strip("instruction || CASE WHEN coalesce(" + S.strip('conte
   FROM p WHERE {S.strip('instruction')} <> '' AND {S.strip('response')} <> '')""")
 def instruction_source(spark, sf_dir):
     """Instructions with a titled context."""
-    rows = spark.createDataFrame(PAIRS, "ord long, instruction string, context string, response string")
+    rows = spark.createDataFrame(PAIRS, "ord int, instruction string, context string, response string")
     return chats.instruction_source(rows, "Context").select("ord", shown("conversation"))
 
 
@@ -105,7 +105,7 @@ e AS (SELECT ord, passage || chr(10) || chr(10) || question || chr(10) || array_
 SELECT ord, {SHOWN.format(c="[struct_pack(role := 'user', content := u), struct_pack(role := 'assistant', content := a)]")} AS conversation FROM e""")
 def choice_source(spark, sf_dir):
     """Lettered choices and an answer in words."""
-    rows = spark.createDataFrame(CHOICES, "ord long, question string, choices array<string>, labels array<string>, answer string, passage string")
+    rows = spark.createDataFrame(CHOICES, "ord int, question string, choices array<string>, labels array<string>, answer string, passage string")
     return chats.choice_source(rows, passage="passage").select("ord", shown("conversation"))
 
 
@@ -272,7 +272,7 @@ REPLIES = [(0, "fine <eos> more"), (1, "a\nUser: b<pad>"), (2, "x<bos>y<eos>z"),
 @query(f"""WITH r AS {S.values(REPLIES, 'ord, text')} SELECT ord, {S.strip("string_split(string_split(string_split(string_split(string_split(text, '<eos>')[1], '<pad>')[1], '<bos>')[1], chr(10) || 'User:')[1], chr(10) || 'Assistant:')[1]")} AS reply FROM r""")
 def clean_replies(spark, sf_dir):
     """Replies cut at stop markers."""
-    return spark.createDataFrame(REPLIES, "ord long, text string").select("ord", chat.clean_reply(F.col("text")).alias("reply"))
+    return spark.createDataFrame(REPLIES, "ord int, text string").select("ord", chat.clean_reply(F.col("text")).alias("reply"))
 
 
 @query(f"WITH d AS (SELECT doc_id, {S.words('text')} AS w FROM documents) SELECT doc_id, array_to_string(['<s>'] || w[greatest(len(w) - 30, 0) + 1:], ' ') AS tokens FROM d")

@@ -32,13 +32,13 @@ TRUTH = [(0, " Is it? ", {"choices": [" no ", "yes"], "labels": [0, 1]}), (1, "S
 
 CHOICE = "struct<text: array<string>, label: array<string>>"
 SOURCES = {
-    "arc_easy": (ARC, "source_index long, question string, choices " + CHOICE + ", answerKey string"),
-    "openbookqa": (ARC, "source_index long, question_stem string, choices " + CHOICE + ", answerKey string"),
-    "hellaswag": (HELLA, "source_index long, ctx string, ctx_a string, ctx_b string, endings array<string>, label int"),
-    "piqa": (PIQA, "source_index long, goal string, sol1 string, sol2 string, label int"),
-    "boolq": (BOOLQ, "source_index long, question string, passage string, answer boolean"),
-    "winogrande": (WINO, "source_index long, sentence string, option1 string, option2 string, answer string"),
-    "truthfulqa_mc1": (TRUTH, "source_index long, question string, mc1_targets struct<choices: array<string>, labels: array<int>>"),
+    "arc_easy": (ARC, "source_index int, question string, choices " + CHOICE + ", answerKey string"),
+    "openbookqa": (ARC, "source_index int, question_stem string, choices " + CHOICE + ", answerKey string"),
+    "hellaswag": (HELLA, "source_index int, ctx string, ctx_a string, ctx_b string, endings array<string>, label int"),
+    "piqa": (PIQA, "source_index int, goal string, sol1 string, sol2 string, label int"),
+    "boolq": (BOOLQ, "source_index int, question string, passage string, answer boolean"),
+    "winogrande": (WINO, "source_index int, sentence string, option1 string, option2 string, answer string"),
+    "truthfulqa_mc1": (TRUTH, "source_index int, question string, mc1_targets struct<choices: array<string>, labels: array<int>>"),
 }
 
 
@@ -315,7 +315,7 @@ SPANS = [(0, None), (1, 59.0), (2, 3600.5), (3, 90061.0), (4, -5.0), (5, 86400.0
 SELECT ord, CASE WHEN seconds IS NULL THEN 'not available' WHEN t >= 86400 THEN (t // 86400) || 'd ' || (t // 3600 % 24) || 'h ' || (t // 60 % 60) || 'm' WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t // 60 % 60) || 'm' ELSE (t // 60) || 'm' END AS text FROM n""")
 def durations(spark, sf_dir):
     """Seconds in words."""
-    return spark.createDataFrame(SPANS, "ord long, seconds double").select("ord", T.duration(F.col("seconds")).alias("text"))
+    return spark.createDataFrame(SPANS, "ord int, seconds double").select("ord", T.duration(F.col("seconds")).alias("text"))
 
 
 LOSSES = [(0, None, 3.25), (1, 2.5, 3.0), (2, 2.123456, None)]
