@@ -53,19 +53,22 @@ def decode(enc: tiktoken.Encoding, ids: np.ndarray) -> bytes:
     return enc.decode_bytes(ids.tolist())
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, decode_too: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers).
 
-    A null text counts as empty (no tokens). Null ids and repeated rows are kept; other columns are not read. ``path``
-    must be readable on the executors. No shuffle.
+    With ``decode_too`` also ``bytes``, the raw bytes that the ids decode to. A null text counts as empty (no tokens).
+    Null ids and repeated rows are kept; other columns are not read. ``path`` must be readable on the executors. No
+    shuffle.
     """
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         enc = encoding(path, pattern)
         ids = [encode(enc, t or "") for t in batch["text"]]
-        return {"doc_id": batch["id"], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
+        out = {"doc_id": batch["id"], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
+        return out | {"bytes": [decode(enc, x) for x in ids]} if decode_too else out
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rows, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", bytes binary" * decode_too
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rows, schema)
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side may be broadcast: at 32 bytes a row, 32 MB. Beyond it the join is left to shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -48,15 +50,23 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def map_arrow(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, object]], schema: str) -> DataFrame:
-    """``mapInArrow`` over columns as Python lists: ``rows`` turns the lists of a batch into the output's columns."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
+#: Rows of an Arrow batch that are worked on at a time, so that a worker holds few texts as Python objects.
+SLICE_ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices, without copying."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
+
+def map_arrow(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, object]], schema: str) -> DataFrame:
+    """``mapInArrow`` over columns as Python lists: ``rows`` turns the lists of a slice into the output's columns."""
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = rows({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 

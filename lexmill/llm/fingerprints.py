@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_arrow, mix64, range_cuts, range_of
+from .common import map_arrow, mix64, range_cuts, range_of, slices
 
 #: The modulus 2^31 - 1 and two bases.
 PRIME, BASES = (1 << 31) - 1, (911382323, 972663749)
@@ -195,7 +195,7 @@ def against_next(docs: DataFrame, rows_each: int = 5_000, id_col: str = "doc_id"
 def _edit_along(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """``against_next`` for rows in order by part, each part ending with the row lent by the next."""
     held: tuple | None = None  # the row before: part, id, text, fingerprint
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for doc_id, text, part in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc_id", "text", "part"))):
             mark = held[3] if held and held[2] == text else fingerprint(text)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import mix64, shared_folder, small, written
+from .common import mix64, shared_folder, slices, small, written
 
 #: Words kept hashed in a worker, and n-grams signed at a time.
 MEMO_WORDS, SIGN_ROWS = 300_000, 2048
@@ -105,7 +105,7 @@ def signed(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = shingler.shingles(text)
@@ -228,7 +228,7 @@ def similar(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     out = to_arrow_schema(StructType.fromDDL(place))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [shared.value.shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             right = pa.array([xxhash.xxh128_digest(x) == k for x, k in zip(made, batch.column("class").to_pylist())], pa.bool_())
             rows = pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rep", "root", "copies", "block", "blocks")), pa.array(made, pa.binary())], schema=out)

@@ -38,7 +38,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     where = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decoded(bpe.encoded(docs, *where), *where))
+    return bpe.digests(bpe.encoded(docs, *where, decode_too=True))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

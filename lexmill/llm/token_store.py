@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import range_cuts, range_of, shared_path
+from .common import range_cuts, range_of, shared_path, slices
 
 MAGIC = b"LXMTOK01"
 BLOCK = 8192
@@ -250,7 +250,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
             if writer:
                 made.append((writer_path, part, len(made), *writer.close().values()))
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, parts = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc_id", "text", "part"))
             for doc_id, p, tokens in zip(ids, parts, encoder(tokenizer).encode(texts)):
                 if p != part or writer.starts[-1] >= FILE_TOKENS:
@@ -284,7 +284,7 @@ def read(spark: SparkSession, manifest: list[tuple[str, int, int, int]], use: Ca
                 rows: list[tuple] = []
                 for doc_id, start, ids in Reader(path).documents():
                     rows.append((doc_id, first + start, len(ids), use(ids)))
-                    if len(rows) == 4096:
+                    if len(rows) == 1024:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
                         rows = []
                 if rows:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64
+from .common import map_arrow, mix64, slices
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
@@ -103,10 +103,13 @@ def _slots(words: _Words, text: str | None, bits: int) -> np.ndarray:
 
 def train(rows: list[tuple[np.ndarray, int]], s: Settings) -> Model:
     """FTRL-proximal over (unique slots, label) rows, in a shuffled order of its own each epoch."""
-    slots, local, counts = (np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True, return_counts=True) if rows else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)))
-    cuts = np.cumsum([0, *(len(r[0]) for r in rows)])
-    frequent = counts >= s.least_documents
-    xs = [x[frequent[x]] for x in (local[a:b] for a, b in zip(cuts, cuts[1:]))]
+    counts = np.zeros(1 << s.bits, np.int32)
+    for x, _ in rows:
+        counts[x] += 1
+    slots = np.flatnonzero(counts >= s.least_documents)
+    place = np.full(1 << s.bits, -1, np.int32)
+    place[slots] = np.arange(len(slots))
+    xs = [p[p >= 0] for p in (place[x] for x, _ in rows)]
     z, n, bias, bias_n = np.zeros(len(slots)), np.zeros(len(slots)), 0.0, 0.0
     weights = lambda z, n: np.where(np.abs(z) <= s.l1, 0.0, (np.sign(z) * s.l1 - z) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
     order = np.random.default_rng(s.seed)
@@ -144,7 +147,7 @@ def fit(labelled: DataFrame, docs: DataFrame, settings: Settings = Settings()) -
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"turn": [], "doc_id": [], "label": [], "slots": []}), *frames]).sort_values(["turn", "doc_id"])
-        m = train([(np.frombuffer(x, "<u4").astype(np.int64), int(y)) for x, y in zip(rows["slots"], rows["label"])], s)
+        m = train([(np.frombuffer(x, "<u4"), int(y)) for x, y in zip(rows["slots"], rows["label"])], s)
         yield pd.DataFrame({"slot": np.append(m.slots, -1), "weight": np.append(m.weights, m.bias)})
 
     ready = map_arrow(texts.select("turn", "doc_id", F.col("label").cast("int"), "text"), features, "turn long, doc_id long, label int, slots binary")
@@ -175,7 +178,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not shared.value(t) >= 0 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
