@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows up to which a side may be broadcast: at 32 bytes a row, 32 MB. Beyond it the join is left to shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side may be broadcast. Beyond it the join is left to shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """A broadcast hint for a side of ``rows`` counted rows, if they are few enough; else the planner's own choice."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 #: Rows of an Arrow batch that are worked on at a time, so that a worker holds few texts as Python objects.

@@ -223,7 +223,7 @@ def similar(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     placed = written(members.join(small(sizes, sizes.count()), "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")), "placed")
     # one text of each candidate class, as hashed n-grams
     shared = spark.sparkContext.broadcast(Shingler(s))
-    texts = plain.join(small(placed.withColumnRenamed("rep", "doc_id"), placed.count()), "doc_id")
+    texts = plain.join(small(placed.withColumnRenamed("rep", "doc_id"), placed.count(), 128), "doc_id")
     place = "rep long, root long, copies long, block int, blocks int, grams binary"
     out = to_arrow_schema(StructType.fromDDL(place))
 

@@ -32,7 +32,6 @@ class Settings:
     key: int = 11
     sections: int = 15
     passes: int = 10
-    bucket_rows: int = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -94,16 +93,16 @@ def mixed(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
     hash that tells texts of one id apart. A null source is a source of its own; a source without words is read
     once, in block 0. Repeated rows stand together. An empty table gives an empty result; other columns are not read.
 
-    Sums along a source's order are taken in two steps, within buckets of the order's hash and over the buckets, so a
-    source with any share of all rows is spread over many tasks.
+    Sums along a source's order are taken in two steps, within buckets of the order's hash and over the buckets, of which
+    there are about as many as rows in each, so a source with any share of all rows is spread over many tasks.
     """
     source = F.col(source_col).cast("string")
     units = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), n_words(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.col(text_col), source).alias("content"))
     units = written(units, "units")
-    by_source = weights(units, s).withColumn("buckets", F.ceil(F.col("n_rows") / s.bucket_rows))
+    by_source = weights(units, s).withColumn("buckets", F.ceil(F.sqrt("n_rows")))
     n = by_source.count()
     same = units["source"].eqNullSafe(by_source["source"])
-    joined = units.join(small(by_source, n), same).drop(by_source["source"])
+    joined = units.join(small(by_source, n, 128), same).drop(by_source["source"])
     copies = joined.withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil("passes").cast("int") - 1)))
     turn = F.xxhash64(F.lit(s.key), "pass", "doc_id", "content")
     share = (F.shiftrightunsigned(turn, 11).cast("double")) / F.lit(float(1 << 53))
@@ -112,7 +111,7 @@ def mixed(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
     sums = copies.groupBy(*group).agg(F.sum("n_tokens").alias("sum"))
     before = F.sum("sum").over(Window.partitionBy("source", "pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = written(sums.select(*group, F.coalesce(before, F.lit(0)).alias("offset")), "offsets")
-    o = small(offsets, offsets.count())
+    o = small(offsets, offsets.count(), 128)
     near = copies.join(o, copies["source"].eqNullSafe(o["source"]) & (copies["pass"] == o["pass"]) & (copies["bucket"] == o["bucket"])).drop(o["source"], o["pass"], o["bucket"])
     order = Window.partitionBy(*group).orderBy(F.expr("shiftrightunsigned(turn, 1)"), "turn", "doc_id", "content")
     placed = near.withColumn("through", F.col("offset") + F.sum("n_tokens").over(order))
@@ -128,6 +127,6 @@ def mixed_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     copies = mixed(docs, s).groupBy("doc_id", "content").agg(F.collect_set(F.struct("pass", "block", "turn")).alias("__copies"))
     copies = written(copies, "copies").withColumnsRenamed({"doc_id": "__id", "content": "__content"})
     keyed = docs.withColumn("__key", F.xxhash64("text", F.col("source").cast("string")))
-    met = keyed.join(small(copies, copies.count()), keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__content")))
+    met = keyed.join(small(copies, copies.count(), 256), keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__content")))
     dealt = met.withColumn("__copy", F.explode("__copies")).withColumns({"__block": F.col("__copy.block"), "__turn": F.col("__copy.turn")})
     return dealt.repartition("__block").sortWithinPartitions("__block", "__turn").select(*docs.columns)

@@ -71,7 +71,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     digests = urls.select("url", "path", F.explode(suffixes).alias("suffix"), folders.alias("folders")).select("url", "path", "suffix", F.explode("folders").alias("folder")).select("url", "path", _digest(F.col("suffix"), F.col("folder")).alias("digest"))
     hits = (
         digests.withColumn("short", _short(F.col("digest")))
-        .join(small(hashed.withColumn("short", _short(F.col("rule_digest"))), reach["n"]), "short")
+        .join(small(hashed.withColumn("short", _short(F.col("rule_digest"))), reach["n"], 256), "short")
         .where((F.col("digest") == F.col("rule_digest")) & F.expr("startswith(path, rule_path)"))
     )
     order = F.struct(F.length("rule"), "host_length", "rule_verdict", "rule")

@@ -406,7 +406,7 @@ def test_mixture_meets_weights(spark, monkeypatch):
     draw = random.Random(2)
     rows = [(i, " ".join(["w"] * draw.randint(1, 40)), draw.choices("abcd", [12, 3, 2, 1])[0]) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    s = mixing.Settings(repeats=3.0, block_tokens=2000, bucket_rows=100)
+    s = mixing.Settings(repeats=3.0, block_tokens=2000)
     got = mixing.mixed(docs, s).collect()
     assert {r.doc_id for r in got} == {i for i, *_ in rows} and max(Counter(r.doc_id for r in got).values()) == 3
     have = Counter()
