@@ -11,10 +11,14 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +53,20 @@ def _values(packed: bytes, n: int, width: int) -> np.ndarray:
     return np.packbits(each, axis=1, bitorder="little").view(kind).ravel().astype(np.uint32)
 
 
+#: Bit lengths of 16-bit numbers.
+LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def _lengths(values: np.ndarray) -> np.ndarray:
+    return LENGTHS[values] if values.max() < 1 << 16 else np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
 def pack_block(ids: np.ndarray) -> bytes:
     """1 to BLOCK ids as a block."""
     ids = ids.astype(np.uint32)
     least = ids.min()
     rest = ids - least
-    lengths = np.frexp(rest.astype(np.float64))[1].astype(np.int64)
+    lengths = _lengths(rest)
     counts = np.bincount(lengths, minlength=33)
     wider = len(ids) - np.cumsum(counts)
     ranks = [-(-len(ids) * p // 100) - 1 for p in PERCENTILES]
@@ -161,15 +173,48 @@ class Reader:
             yield doc_id, start, held[start - at : end - at]
 
 
+def ids_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Known(dict):
+    """Ids by stretch. One that only ``old`` has is taken over; one that neither has is noted in ``wanted``."""
+
+    def __init__(self, old: dict):
+        super().__init__()
+        self.old, self.wanted = old, []
+
+    def __missing__(self, x: str | tuple[str]) -> bytes | None:
+        if (ids := self.old.get(x)) is None:
+            self.wanted.append(x)
+        else:
+            self[x] = ids
+        return ids
+
+    def missing(self, stretches: Iterable[str | tuple[str]]) -> set:
+        """Of the stretches those that are not known."""
+        deque(map(self.__getitem__, stretches), maxlen=0)
+        out = set(self.wanted)
+        self.wanted.clear()
+        return out
+
+
 class PieceEncoder:
     """Ids by the tokenizers library, which is asked once for each distinct stretch of text it has not seen lately.
 
     A text is cut in front of each space that follows something else than white space. No match of the byte-level
-    splitting pattern spans such a place, so the stretches' ids in a row are the ids of the whole text.
+    splitting pattern spans such a place, so the stretches' ids in a row are the ids of the whole text. A stretch is
+    known by what follows its space; one without a space in front, as a text's first, by a tuple of itself.
     """
 
-    KEPT, GROUP = 450_000, 1 << 20
+    KEPT, GROUP = 700_000, 1 << 20
     UNSAFE = re.compile(r"\s ")
+    # a run of letters, and ASCII that is neither letter nor digit behind it: a match ends between them
+    WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~\n].*)", re.DOTALL)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,25 +222,25 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def stretches(self, text: str) -> list[str]:
-        if not self.UNSAFE.search(text):
-            first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]]
-        out: list[str] = []
-        for i, x in enumerate(text.split(" ")):
-            if out and (not out[-1] or out[-1][-1].isspace()):
-                out[-1] += " " + x
-            else:
-                out.append(" " + x if i else x)
+        self.known = _Known({})
+
+    def stretches(self, text: str) -> list[str | tuple[str]]:
+        out: list = text.split(" ")
+        if self.UNSAFE.search(text):
+            whole = out[:1]
+            for x in out[1:]:
+                if not whole[-1] or whole[-1][-1].isspace():
+                    whole[-1] += " " + x
+                else:
+                    whole.append(x)
+            out = whole
+        out[0] = (out[0],)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        group: list[list[str]] = []
+        group: list[list] = []
         size = 0
         for text in texts:
             group.append(self.stretches(text))
@@ -205,21 +250,26 @@ class PieceEncoder:
                 group, size = [], 0
         return out + self._group(group)
 
-    def _group(self, group: list[list[str]]) -> list[bytes]:
-        if len(self.young) > self.KEPT:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for x in {x for xs in group for x in xs}.difference(young):
-            if (ids := old.get(x)) is None:
-                new.append(x)
-            else:
-                young[x] = ids
+    def _group(self, group: list[list]) -> list[bytes]:
+        if len(self.known) > self.KEPT:
+            self.known.old = {}
+            self.known = _Known(self.known)
+        known = self.known
+        new = known.missing(chain.from_iterable(group))
+        split = {x: m.groups() for x in new if isinstance(x, str) and (m := self.WORD.fullmatch(x))}
+        parts = known.missing(p for word, rest in split.values() for p in (word, (rest,)))
+        self._ask([*parts.union(x for x in new if x not in split)])
+        for x, (word, rest) in split.items():
+            known[x] = known[word] + known[(rest,)]
+        return [b"".join(map(known.__getitem__, xs)) for xs in group]
+
+    def _ask(self, new: list) -> None:
+        known = self.known
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for x, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                young[x] = struct.pack(f"<{len(e)}I", *e.ids)
-        return [b"".join(map(young.__getitem__, xs)) for xs in group]
+            texts = [" " + x if isinstance(x, str) else x[0] for x in part]
+            for x, e in zip(part, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                known[x] = ids_bytes(e.ids)
 
 
 @lru_cache(maxsize=2)
