@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # The code points that str.strip() and str.split() treat as white space. The class is written so that
 # both Java's and RE2's regular expressions read it.
 SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: What ``words`` gives one item for.
+WORD = f"[^{SPACE[1:]}+"
 #: Characters below which a document is dropped.
 LEAST_CHARS = 80
 

@@ -7,6 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from . import quota
+
+#: Digests that a node of a tree of digests joins, and its levels: together for up to 2^40 rows of a dataset.
+FANOUT, LEVELS = 1024, 4
+
 
 def corpus(rows: DataFrame, order: str, text: str = "text", keys: tuple[str, ...] = ("dataset",)) -> DataFrame:
     """By dataset: its texts in order with a blank line between them (``corpus``), rows, bytes and SHA-256.
@@ -18,6 +24,38 @@ def corpus(rows: DataFrame, order: str, text: str = "text", keys: tuple[str, ...
     return whole.withColumns({"bytes": F.octet_length("corpus").cast("long"), "sha256": F.sha2("corpus", 256)})
 
 
+def corpus_sums(rows: DataFrame, order: str, text: str = "text", key: str = "dataset") -> DataFrame:
+    """By dataset: rows, and bytes of its ``corpus``, with ``tree_sha256``, a digest of the texts in order; the text itself is never joined.
+
+    The digest is that of a tree: SHA-256 of each text, then LEVELS times of each run of FANOUT hexadecimal digests put
+    one behind the other. ``order`` is a unique number within the dataset.
+    """
+    t = F.coalesce(text, F.lit(""))
+    each = rows.select(key, order, F.octet_length(t).cast("long").alias("size"), F.sha2(t, 256).alias("digest"), F.lit(1).alias("one"))
+    sums = each.groupBy(key).agg(F.count("*").alias("n_rows"), (F.sum("size") + 2 * (F.count("*") - 1)).alias("bytes"))
+    level = quota.running(each.select(key, order, "digest", "one"), "one", order, key).select(key, (F.col("through") - 1).alias("at"), "digest")
+    for _ in range(LEVELS):
+        run = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda r: r["digest"])
+        level = level.groupBy(key, F.floor(F.col("at") / FANOUT).alias("up")).agg(F.sha2(F.array_join(run, ""), 256).alias("digest")).withColumnRenamed("up", "at")
+    return sums.join(level.select(key, F.col("digest").alias("tree_sha256")), key)
+
+
+def segment_sizes(rows: DataFrame, order: str, length: int, text: str = "text", key: str = "dataset") -> DataFrame:
+    """(dataset, seg, tokens): how many white-space tokens each of ``packing.segments`` of the dataset's ``corpus`` has.
+
+    Words never span the blank line between texts, so running sums of the texts' words give each its place; of a text
+    a row for each segment it reaches is shuffled, never its words. ``order`` is a unique number within the dataset.
+    """
+    step = length - 1
+    n = F.coalesce(F.regexp_count(text, F.lit(T.WORD)), F.lit(0)).cast("long")
+    counted = rows.select(key, order, n.alias("n")).where("n > 0").persist()  # numbers only; counted once for all steps of the sums
+    first = F.col("through") - F.col("n")
+    reached = F.sequence(F.floor(first / step), F.floor((F.col("through") - 1) / step))
+    pieces = quota.running(counted, "n", order, key).select(key, "through", first.alias("first"), F.explode(reached).alias("seg"))
+    inside = F.least("through", (F.col("seg") + 1) * step) - F.greatest("first", F.col("seg") * step)
+    return pieces.groupBy(key, "seg").agg(F.sum(inside).alias("tokens"))
+
+
 def measures(nll: Column, tokens: Column, size: Column) -> dict[str, Column]:
     """Nats a token, perplexity (the exponent is capped at 50), bits a byte, byte perplexity, tokens a byte."""
     per_token, bits = F.try_divide(nll, tokens), F.try_divide(nll, size * math.log(2))

@@ -168,17 +168,33 @@ co AS (SELECT dataset, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER B
 
 @query(f"WITH {CORPORA} SELECT dataset, n_rows, strlen(corpus)::BIGINT AS bytes, sha256(corpus) AS sha256 FROM co")
 def evaluation_corpora(spark, sf_dir):
-    """Corpora of joined texts with bytes and digest."""
+    """Corpora of joined texts with bytes and digest; of documents only those of doc_id < 20, as its SQL has it."""
     return corpora(spark, sf_dir).select("dataset", "n_rows", "bytes", "sha256")
 
 
+def all_texts(spark, sf_dir) -> DataFrame:
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("benchmark").alias("dataset"), F.col("item_id").alias("ord"), "text")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("documents").alias("dataset"), F.col("doc_id").alias("ord"), "text")
+    return b.unionByName(d)
+
+
+@query(None)
+def evaluation_corpora_whole(spark, sf_dir):
+    """S11 over every row: rows, bytes of the joined texts, and a tree's digest of them, since one text cannot hold a whole table."""
+    return perplexity.corpus_sums(all_texts(spark, sf_dir), "ord")
+
+
+def scored(segments: DataFrame) -> DataFrame:
+    """Rows of (dataset, tokens) under each of MODELS."""
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(v).alias("v")) for m, v in MODELS])
+    each = segments.select("dataset", "tokens", F.explode(models).alias("m"))
+    return each.select("m.model", "dataset", (F.col("tokens") * F.log(F.col("m.v").cast("double"))).alias("nll"), "tokens")
+
+
 def perplexities(spark, sf_dir) -> DataFrame:
     c = corpora(spark, sf_dir)
     seg = packing.segments(c.select("dataset", T.words(F.col("corpus")).alias("ids")), 128)
-    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(v).alias("v")) for m, v in MODELS])
-    each = seg.select("dataset", F.size("tokens").cast("long").alias("tokens"), F.explode(models).alias("m"))
-    scored = each.select("m.model", "dataset", (F.col("tokens") * F.log(F.col("m.v").cast("double"))).alias("nll"), "tokens")
-    return perplexity.results(scored, c)
+    return perplexity.results(scored(seg.select("dataset", F.size("tokens").cast("long").alias("tokens"))), c)
 
 
 PPL = f"""{CORPORA}, n AS (SELECT dataset, strlen(corpus) AS bytes, len({S.words('corpus')}) AS tokens FROM co), m AS {S.values(MODELS, 'model, v')},
@@ -188,10 +204,19 @@ p AS (SELECT *, nll / tokens AS nats_per_token, exp(least(nll / tokens, 50)) AS
 
 @query(f"WITH {PPL} SELECT dataset, model, round(nll, 6) AS nll, tokens, segments, bytes, nats_per_token, perplexity, bits_per_byte, byte_perplexity, tokens_per_byte FROM p")
 def perplexity_results(spark, sf_dir):
-    """Perplexity and bits per byte by model and dataset."""
+    """Perplexity and bits per byte by model and dataset; of documents only those of doc_id < 20, as its SQL has it."""
     return perplexities(spark, sf_dir).withColumn("nll", F.round("nll", 6))
 
 
+@query(None)
+def perplexity_results_whole(spark, sf_dir):
+    """A14, X9, J5 over every row of both tables."""
+    rows = all_texts(spark, sf_dir)
+    sizes = rows.groupBy("dataset").agg((F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")) + 2 * (F.count("*") - 1)).alias("bytes"))
+    out = perplexity.results(scored(perplexity.segment_sizes(rows, "ord", 128)), sizes)
+    return out.withColumn("nll", F.round("nll", 6))
+
+
 @query(f"WITH {PPL} SELECT model, bits_per_byte FROM p WHERE dataset = 'benchmark'")
 def perplexity_ranking(spark, sf_dir):
     """A dataset's models, best first (compared as a set)."""
