@@ -298,13 +298,18 @@ def riffle_merge(spark, sf_dir):
 s AS (SELECT doc_id, w / sum(w) OVER () AS p FROM p), c AS (SELECT doc_id, p, sum(p) OVER (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING) - p AS before FROM s)
 SELECT doc_id, p FROM c WHERE before <= 0.9""")
 def nucleus(spark, sf_dir):
-    """The likeliest items up to a mass of 0.9, with the one that passes it."""
-    from pyspark.sql import Window
+    """The likeliest items up to a mass of 0.9, with the one that passes it; of documents only those of doc_id < 50, as its SQL has it."""
+    return split.nucleus(weighted(spark, sf_dir).where("doc_id < 50"), "w", "doc_id", 0.9)
+
+
+def weighted(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir, "doc_id").select("doc_id", (1.0 / (1 + F.col("doc_id") % 7)).alias("w"))
 
-    w = documents(spark, sf_dir, "doc_id").where("doc_id < 50").select("doc_id", (1.0 / (1 + F.col("doc_id") % 7)).alias("w"))
-    p = w.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy()))
-    before = F.sum("p").over(Window.orderBy(F.col("p").desc(), "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("p")
-    return p.withColumn("before", before).where("before <= 0.9").select("doc_id", "p")
+
+@query(None)
+def nucleus_whole(spark, sf_dir):
+    """T13 over every document."""
+    return split.nucleus(weighted(spark, sf_dir), "w", "doc_id", 0.9)
 
 
 @query(None)
