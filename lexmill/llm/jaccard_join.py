@@ -109,8 +109,7 @@ def signed(docs: DataFrame, settings: Settings) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = shingler.shingles(text)
-                digest = xxhash.xxh128_digest(grams.tobytes() if len(grams) else b"\0" + (text or b""))
-                rows.append((doc_id, digest, len(grams), shingler.prefixes(grams).view(np.int64) if len(grams) else []))
+                rows.append((doc_id, _digest(text, grams), len(grams), shingler.prefixes(grams).view(np.int64) if len(grams) else []))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, out)], schema=out)
 
     return docs.mapInArrow(run, SIGNED)
@@ -143,11 +142,11 @@ def _verify(settings: Settings):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         same = bool((frame["i"] == frame["j"]).iloc[0])
-        frame = frame.sort_values("rep")
-        frame = frame.drop_duplicates("rep")  # a repeated row is fetched as often as it stands
+        frame = frame.sort_values("node")
+        frame = frame.drop_duplicates("node")  # a repeated row is fetched as often as it stands
         sides = [frame[frame["block"] == frame["i"]]] * 2 if same else [frame[frame["block"] == frame[k]] for k in ("i", "j")]
         if not len(sides[0]) or not len(sides[1]):
-            return pd.DataFrame({"rep": [], "links": [], "tied": []})
+            return pd.DataFrame({"node": [], "links": [], "tied": []})
         sets = [[np.frombuffer(x, "<u8") for x in s["grams"]] for s in sides]
         sizes = [np.array([len(x) for x in s]) for s in sets]
         shared = np.intersect1d(*(np.unique(np.concatenate(s)) for s in sets), assume_unique=True)
@@ -167,11 +166,11 @@ def _verify(settings: Settings):
         linked = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-6
         if same:
             np.fill_diagonal(linked, False)
-        reps, weights = [s["rep"].to_numpy() for s in sides], [s["copies"].to_numpy() for s in sides]
-        labels = _labels(linked, reps, same)
-        out = [pd.DataFrame({"rep": reps[0], "links": linked @ weights[1], "tied": labels[0]})]
+        nodes, weights = [s["node"].to_numpy() for s in sides], [s["copies"].to_numpy() for s in sides]
+        labels = _labels(linked, nodes, same)
+        out = [pd.DataFrame({"node": nodes[0], "links": linked @ weights[1], "tied": labels[0]})]
         if not same:
-            out.append(pd.DataFrame({"rep": reps[1], "links": linked.T @ weights[0], "tied": labels[1]}))
+            out.append(pd.DataFrame({"node": nodes[1], "links": linked.T @ weights[0], "tied": labels[1]}))
         return pd.concat(out)
 
     return run
@@ -193,76 +192,104 @@ def _blocks(total_bytes: Column, texts: Column) -> Column:
     return F.greatest(F.ceil(total_bytes / BLOCK_BYTES), F.ceil(texts / BLOCK_TEXTS), F.lit(1)).cast("int")
 
 
-def similar(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, class_id, n_links.
-
-    Two documents are linked if the Jaccard index of their word n-gram sets is at least the threshold. ``class_id`` is
-    the least doc_id of those connected by links; ``n_links`` counts a row's links to other rows, copies included.
-    Equal sets are always linked. Texts without words (null counts as empty) are linked only to equal ones. A row with
-    a null id has class_id null and n_links 0 and counts for nobody. Repeated rows count as copies. An empty table gives
-    an empty result; other columns are not read.
-
-    Copies meet in an aggregation that is combined before its shuffle, and never in pairs. The forest's candidates are a
-    superset of links up to the recall (for a pair just at the threshold; higher for closer ones); every link counted
-    is exact. Work within a component of different texts grows with the square of its blocks of BLOCK_TEXTS, because a
-    count of links needs each; rows moved grow with its size times its blocks.
-    """
+def _classified(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and of those with an id: doc_id, class, root (a number of its connected classes), class_id, n_links."""
     spark, s = docs.sparkSession, settings
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     marks = written(signed(plain, s), "signed")
     known = marks.where("doc_id is not null")
     firsts = known.groupBy("class").agg(F.min(F.struct("doc_id", "n_grams", "prefixes")).alias("first"), F.count("*").alias("copies"))
-    classes = written(firsts.select("class", F.col("first.doc_id").alias("rep"), "first.n_grams", "first.prefixes", "copies"), "classes")
+    # a class is known by a number of its own, as several may have the same least doc_id
+    classes = written(firsts.select("class", F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("rep"), "first.n_grams", "first.prefixes", "copies"), "classes")
     reps = classes.where("n_grams > 0")
-    leaves = reps.select("rep", F.explode("prefixes").alias("prefix"))
-    nodes = written(leaves.groupBy("prefix").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("prefix", "least"), "nodes")
-    stars = leaves.join(small(nodes, nodes.count()), "prefix").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
-    near = components(stars).withColumnRenamed("node", "rep")
-    members = written(reps.select("class", "rep", "copies", "n_grams").join(small(near, near.count()), "rep"), "members")
+    leaves = reps.select("node", F.explode("prefixes").alias("prefix"))
+    nodes = written(leaves.groupBy("prefix").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("prefix", "least"), "nodes")
+    stars = leaves.join(small(nodes, nodes.count()), "prefix").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    near = components(stars)
+    members = written(reps.select("class", "node", "rep", "copies", "n_grams").join(small(near, near.count()), "node"), "members")
     sizes = members.groupBy("root").agg(_blocks(F.sum(F.col("n_grams") * 8), F.count("*")).alias("blocks"))
-    placed = written(members.join(small(sizes, sizes.count()), "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")), "placed")
+    placed = written(members.join(small(sizes, sizes.count()), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")), "placed")
     # one text of each candidate class, as hashed n-grams
     shared = spark.sparkContext.broadcast(Shingler(s))
     texts = plain.join(small(placed.withColumnRenamed("rep", "doc_id"), placed.count(), 128), "doc_id")
-    place = "rep long, root long, copies long, block int, blocks int, grams binary"
+    place = "node long, root long, copies long, block int, blocks int, grams binary"
     out = to_arrow_schema(StructType.fromDDL(place))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [shared.value.shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             right = pa.array([xxhash.xxh128_digest(x) == k for x, k in zip(made, batch.column("class").to_pylist())], pa.bool_())
-            rows = pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rep", "root", "copies", "block", "blocks")), pa.array(made, pa.binary())], schema=out)
+            rows = pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("node", "root", "copies", "block", "blocks")), pa.array(made, pa.binary())], schema=out)
             yield rows.filter(right)
 
     dealt = (
-        texts.select(F.col("doc_id").alias("rep"), "class", "root", "copies", "block", "blocks", "text").mapInArrow(grams, place)
+        texts.select("node", "class", "root", "copies", "block", "blocks", "text").mapInArrow(grams, place)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     )
-    checked = written(dealt.groupBy("root", "i", "j").applyInPandas(_verify(s), "rep long, links long, tied long"), "checked")
-    links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    final = components(checked.where("tied <> rep").select(F.col("rep").alias("a"), F.col("tied").alias("b"))).withColumnRenamed("node", "rep")
-    checks = final.join(links, "rep", "full").select("rep", "root", "links")
-    verdict = classes.select("class", "rep", "copies").join(small(checks, near.count()), "rep", "left")
-    verdict = written(verdict.select("class", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "verdict")
-    got = known.select("doc_id", "class").join(verdict, "class").select("doc_id", "class_id", "n_links")
+    checked = written(dealt.groupBy("root", "i", "j").applyInPandas(_verify(s), "node long, links long, tied long"), "checked")
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    final = written(components(checked.where("tied <> node").select(F.col("node").alias("a"), F.col("tied").alias("b"))), "final")
+    ids = final.join(placed.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
+    checks = final.join(ids, "root").join(links, "node", "full").select("node", "root", "class_id", "links")
+    verdict = classes.select("class", "node", "rep", "copies").join(small(checks, near.count()), "node", "left")
+    verdict = written(verdict.select("class", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "verdict")
+    return marks, known.select("doc_id", "class").join(verdict, "class")
+
+
+def similar(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: doc_id, class_id, n_links.
+
+    Two documents are linked if the Jaccard index of their word n-gram sets is at least the threshold. ``class_id`` is
+    the least doc_id of those connected by links; ``n_links`` counts a row's links to other rows, copies included.
+    Equal sets are always linked. Texts without words (null counts as empty) are linked only to equal ones. A row with
+    a null id has class_id null and n_links 0 and counts for nobody. Repeated rows count as copies. An empty table gives
+    an empty result; other columns are not read. Different texts under one id are judged each; classes that are not
+    connected can then have the same ``class_id``.
+
+    Copies meet in an aggregation that is combined before its shuffle, and never in pairs. The forest's candidates are a
+    superset of links up to the recall (for a pair just at the threshold; higher for closer ones); every link counted
+    is exact. Work within a component of different texts grows with the square of its blocks of BLOCK_TEXTS, because a
+    count of links needs each; rows moved grow with its size times its blocks.
+    """
+    marks, judged = _classified(docs, settings, id_col, text_col)
+    got = judged.select("doc_id", "class_id", "n_links")
     none = marks.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return got.unionByName(none)
 
 
+def _digest(text: bytes | None, grams: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(grams.tobytes() if len(grams) else b"\0" + (text or b""))
+
+
+def digests(docs: DataFrame, settings: Settings):
+    """A function of a binary column: the digest of a text's class."""
+    shared = docs.sparkSession.sparkContext.broadcast(Shingler(settings))
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([_digest(t, shared.value.shingles(t)) for t in texts])
+
+    return digest
+
+
 def distinct_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` less those that are not the first of their class: of each class, one row of its least doc_id stays.
 
-    Rows with a null id stay; where several rows have the least id, the one with the least text does.
+    Rows with a null id stay; where several rows of a class have the least id, the one with the least text does. Different
+    texts under one id are judged each.
     """
-    classes = similar(docs, settings)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    gone = written(gone, "gone")
-    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    repeated = written(repeated, "repeated")
+    marks, judged = _classified(docs, settings, "doc_id", "text")
+    repeated = written(marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     n = repeated.count()
+    gone = written(judged.where("doc_id <> class_id").select("doc_id").unionByName(repeated).distinct(), "gone")
+    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     if not n:
         return kept
-    one = kept.join(small(repeated, n), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))).alias("row"))
-    return kept.join(small(repeated, n), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
+    # rows that share an id are told apart by the digest of their class
+    firsts = judged.where("doc_id = class_id").join(small(repeated, n), "doc_id", "left_semi").select("doc_id", "class", "root").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(small(repeated, n), "doc_id", "left_semi").select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digests(docs, settings)(F.col("text").cast("binary")).alias("class"))
+    turn = F.struct(F.coalesce("row.text", F.lit("")), F.xxhash64(*[F.col("row")[c] for c in docs.columns]))
+    one = rows.join(firsts, ["doc_id", "class"]).groupBy("root").agg(F.min_by("row", turn).alias("row"))
+    return kept.unionByName(one.select("row.*"))

@@ -382,6 +382,16 @@ def test_jaccard_join_odd_rows(spark, odd, empty):
     assert jaccard_join.distinct_documents(empty).count() == 0
 
 
+def test_texts_under_one_id_are_judged_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (5, b + " more"), (5, c), (9, c), (9, c), (8, "alone"), (8, "apart"), (8, "apart"), (8, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.similar(docs).collect())
+    assert got == Counter([(3, 3, 1), (7, 3, 1), (7, 5, 1), (5, 5, 1), (5, 5, 2), (9, 5, 2), (9, 5, 2), (8, 8, 0), (8, 8, 1), (8, 8, 1), (8, 8, 1), (8, 8, 1)])
+    kept = Counter((r.doc_id, r.text or "") for r in jaccard_join.distinct_documents(docs).collect())
+    assert kept == Counter([(3, a), (5, b + " more"), (5, c), (8, "alone"), (8, "apart"), (8, "")])
+
+
 def test_prefixes_are_shortened_to_the_recall():
     s = jaccard_join.Settings()
     k = s.prefix()
