@@ -1,10 +1,11 @@
-"""Jaccard similarity join over word n-grams by a MinHash LSH forest with exact verification.
-
-A text's distinct word n-grams are hashed to 64 bits; texts with equal sets form one class from the start. Each tree of
-the forest is a trie over a run of MinHash values. The prefix that two texts must share in a tree is shortened from the
-full depth until, at the threshold, the chance to meet in at least one tree reaches the target recall. Texts under one
-trie node at that depth are tied by a star to the node's least text; components of these ties are then verified exactly,
-in blocks of bounded bytes, so no task holds an unbounded group and no list of pairs is ever written.
+"""Jaccard similarity join over word n-grams by MinHash banding with exact verification.
+
+A text's distinct word n-grams are hashed to 64 bits; texts with equal sets form one class from the start. Each band
+("tree" in the settings) is a run of MinHash values. Its width is fixed before any text is read: the greatest, up to
+``depth``, with which two texts at the threshold agree in at least one band with the target recall (32 bands of 6 by
+default). No trie is built and nothing is shortened by the data, unlike in an LSH forest. Texts that agree in a band
+are tied by a star to one of them; components of these ties are then verified exactly, in blocks of bounded bytes, so no
+task holds an unbounded group and no list of pairs is ever written.
 """
 
 from __future__ import annotations
@@ -247,7 +248,7 @@ def similar(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     an empty result; other columns are not read. Different texts under one id are judged each; classes that are not
     connected can then have the same ``class_id``.
 
-    Copies meet in an aggregation that is combined before its shuffle, and never in pairs. The forest's candidates are a
+    Copies meet in an aggregation that is combined before its shuffle, and never in pairs. The bands' candidates are a
     superset of links up to the recall (for a pair just at the threshold; higher for closer ones); every link counted
     is exact. Work within a component of different texts grows with the square of its blocks of BLOCK_TEXTS, because a
     count of links needs each; rows moved grow with its size times its blocks.
