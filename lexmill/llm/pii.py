@@ -18,9 +18,9 @@ ROUNDS = 10
 CYCLE_START, CYCLE = "1700-01-01", (189, 773)
 
 # Fixed formats (Java regular expressions). An earlier kind is tried first at a place.
-KEY_NAME = r"""(?:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?"""
+KEY_NAME = r"""(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?"""
 KINDS = {
-    "named_key": KEY_NAME + r"[A-Za-z0-9_/+-]{12,128}",
+    "named_key": KEY_NAME + r"[A-Za-z0-9_/+-]{12,}+",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "email": r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
@@ -151,6 +151,24 @@ def _date(key: str, x: Column, pattern: str, iso: Column) -> Column:
     return F.coalesce(_let(F.datediff(iso.try_cast("date"), start), moved), x)
 
 
+def _slashed_date(key: str, x: Column) -> Column:
+    """Month first where that is a date, else day first.
+
+    A date that can only be day first becomes another such one, so the map stays one to one: it is permuted again until
+    its day is above 12 (a chance of 0.6 each time, 64 times at most).
+    """
+    part = lambda i, n: F.substring(x, F.lit(i), F.lit(n))
+    month_first, day_first = (F.concat_ws("-", part(7, 4), part(i, 2), part(j, 2)) for i, j in ((1, 4), (4, 1)))
+    days, start = CYCLE[0] * CYCLE[1], F.lit(CYCLE_START).cast("date")
+    a, b = (F.lit(s).cast("long") for s in CYCLE)
+    date = lambda n: F.date_add(start, n.cast("int"))
+    next_of = lambda n: _let(permuted_pair(key, "date", F.floor(n / CYCLE[1]), n % CYCLE[1], a, b), lambda p: p["a"] * CYCLE[1] + p["b"])
+    walked = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(63)), next_of(n), lambda v, _: F.when(F.dayofmonth(date(v)) > 12, v).otherwise(next_of(v)))
+    moved = lambda n: F.when((n >= 0) & (n < days), F.date_format(date(walked(n)), "dd/MM/yyyy")).otherwise(x)
+    other = F.coalesce(_let(F.datediff(day_first.try_cast("date"), start).cast("long"), moved), x)
+    return F.when(month_first.try_cast("date").isNotNull(), _date(key, x, "MM/dd/yyyy", month_first)).otherwise(other)
+
+
 def _email(key: str, x: Column) -> Column:
     dot = F.length(x) - F.length(F.substring_index(x, ".", -1))
     return F.concat(permuted_text(key, "email", F.substring(x, F.lit(1), dot - 1)), F.substring(x, dot, F.length(x)))
@@ -172,7 +190,7 @@ def pseudonym(x: Column, key: str) -> Column:
         .when(is_kind("phone"), _phone(key, x))
         .when(is_kind("iso_date"), _date(key, x, "yyyy-MM-dd", x))
         .when(is_kind("dotted_date"), _date(key, x, "dd.MM.yyyy", F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))))
-        .when(is_kind("slashed_date"), _date(key, x, "MM/dd/yyyy", F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2))))
+        .when(is_kind("slashed_date"), _slashed_date(key, x))
         .when(is_kind("ip"), _ip(key, x))
         .when(is_kind("ssn"), _ssn(key, x))
         .when(is_kind("card"), _card(key, x))
@@ -183,7 +201,7 @@ def pseudonym(x: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_values") -> DataFrame:
     """The rows of ``docs`` with personal data in the text replaced, and in ``count_col`` how many values were.
 
-    Cards (Luhn), phone numbers, IPv4 addresses, dates from 1700 to 2099 (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy), US
+    Cards (Luhn), phone numbers, IPv4 addresses, dates from 1700 to 2099 (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, dd/mm/yyyy where that is none), US
     social security numbers, e-mail addresses, and access keys are replaced; numbers that fail their check stay as they
     are. A null text stays null with a count of 0; an empty one stays empty. All other columns and rows, repeated ones
     too, pass through; a column named ``count_col`` is replaced. Whole texts are searched, in one pass with no shuffle.

@@ -253,6 +253,23 @@ def test_pseudonyms(spark):
     assert found[11] == str(datetime.date(1700, 1, 1) + datetime.timedelta(a * 773 + b))
 
 
+def test_whole_keys_names_in_capitals_and_days_first(spark):
+    import datetime
+
+    long = "".join(random.Random(1).choices("abcXYZ0189", k=200))
+    names = [f"token = {long}", 'API_KEY="abcdefgh12345678"', "PassWord: hunter2hunter2"]
+    first = [datetime.date(2024, 1, 1) + datetime.timedelta(i) for i in range(366)]
+    dates = [d.strftime("%d/%m/%Y") for d in first if d.day > 12]
+    left = ["32/13/2024", "30/02/2024", "31/04/2024"]
+    df = spark.createDataFrame(list(enumerate([*names, *dates, *left])), "doc_id long, text string")
+    new = [r.text for r in pii.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    assert all(len(a) == len(b) and a != b and a[: a.index(c) + 1] == b[: a.index(c) + 1] for a, b, c in zip(names, new, '=":'))
+    assert sum(a == b for a, b in zip(long[128:], new[0][-72:])) < 36
+    made = new[len(names) : -len(left)]
+    assert len(set(made)) == len(dates) and all(int(x[:2]) > 12 and datetime.datetime.strptime(x, "%d/%m/%Y") for x in made)
+    assert new[-len(left) :] == left and sum(a == b for a, b in zip(dates, made)) < 3
+
+
 def test_pseudonyms_are_one_to_one(spark):
     digits = spark.range(10_000).select(F.format_string("%04d", "id").alias("x"))
     assert digits.select(pii.permuted_digits("k", "t", F.col("x")).alias("y")).distinct().count() == 10_000
