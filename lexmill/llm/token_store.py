@@ -209,6 +209,10 @@ class PieceEncoder:
     A text is cut in front of each space that follows something else than white space. No match of the byte-level
     splitting pattern spans such a place, so the stretches' ids in a row are the ids of the whole text. A stretch is
     known by what follows its space; one without a space in front, as a text's first, by a tuple of itself.
+
+    The library's ``encode_special_tokens`` is set: a special token's name that stands in a text, such as
+    ``<|endoftext|>``, is encoded as the characters it is written with. The library's default gives the marker's id
+    instead, so ids, counts and starts differ from those of an untouched ``Tokenizer`` where a text holds such a name.
     """
 
     KEPT, GROUP = 700_000, 1 << 20
