@@ -2,7 +2,7 @@
 
 Two modular prefix arrays of a text answer whether any two spans are equal, and by binary search how long two texts
 agree from given places. A fingerprint keeps, of these arrays: the length and the hash of the whole text, hashes of
-prefixes and suffixes whose lengths form a fixed geometric grid, and the least hashes of its fixed-width spans.
+prefixes and suffixes whose lengths form a fixed grid (every length to 16, then geometric), and the least hashes of its fixed-width spans.
 """
 
 from __future__ import annotations
@@ -91,8 +91,8 @@ class PrefixHash:
 
 @lru_cache(maxsize=4096)
 def grid(n: int) -> np.ndarray:
-    """The grid's lengths up to n; the same for all texts."""
-    out, x = [], float(GRID_FIRST)
+    """The grid's lengths up to n, each one below GRID_FIRST; the same for all texts."""
+    out, x = list(range(1, min(GRID_FIRST - 1, n) + 1)), float(GRID_FIRST)
     while int(x) <= n:
         out.append(int(x))
         x *= GRID_RATIO

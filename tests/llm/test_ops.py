@@ -150,6 +150,13 @@ def test_likeness():
         assert 0 <= fingerprints.likeness(mark(a), mark(b)) <= 1
 
 
+@pytest.mark.parametrize("n", range(2, 40))
+def test_likeness_of_half_edited_short_texts(n):
+    text, edited = "".join(chr(0x4E00 + i) for i in range(n)), "".join(chr(0x4E00 + i if i < n - n // 2 else 0x6E00 + i) for i in range(n))
+    kept = n - n // 2
+    assert kept / n / fingerprints.GRID_RATIO <= fingerprints.likeness(*map(fingerprints.fingerprint, (text, edited))) <= kept / n
+
+
 @pytest.mark.parametrize("rows_each", [2, 100])
 def test_against_next(spark, odd, empty, rows_each):
     order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
