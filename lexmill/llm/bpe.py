@@ -1,7 +1,9 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
 A long text is cut in front of white space that follows something else: no match of the splitting pattern spans such
-a place and none looks across it, so the parts' ids in a row are the ids of the whole.
+a place and none looks across it, so the parts' ids in a row are the ids of the whole. A long run of white space, over
+which the library's regular expression would run out of stack, is one match up to its last character (the last one too
+at the end of a text), and is merged as one piece without the expression.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from .common import map_arrow
 #: Code points from which on a text is encoded in parts, and about how many each part has.
 PART = 1 << 16
 SAFE = re.compile(r"(?<=\S)[ \t\n\r]")
+#: White space as Unicode has it (which the library's expressions follow), and runs of it that are merged as one piece.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = 4096
 
 
 @lru_cache(maxsize=4)
@@ -43,9 +48,22 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(enc: tiktoken.Encoding, text: str) -> np.ndarray:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return np.concatenate([np.array(enc.encode_ordinary(p), "<u4") for p in parts(text)])
+@lru_cache(maxsize=4)
+def _runs(least: int) -> re.Pattern:
+    return re.compile(f"[{WHITE}]{{{least},}}")
+
+
+def encode(enc: tiktoken.Encoding, text: str, run: int = RUN, size: int = PART) -> np.ndarray:
+    """Ids as little-endian unsigned 32-bit integers. ``run``: white-space characters (2 at least) from which on a run is one piece."""
+    if len(text) <= min(run, size):
+        return np.array(enc.encode_ordinary(text), "<u4")
+    ids, at = [np.empty(0, "<u4")], 0
+    for found in _runs(run).finditer(text):
+        end = found.end() - (found.end() < len(text))
+        ids += [np.array(enc.encode_ordinary(p), "<u4") for p in parts(text[at : found.start()], size)]
+        ids.append(np.array(enc._encode_single_piece(text[found.start() : end]), "<u4"))
+        at = end
+    return np.concatenate([*ids, *(np.array(enc.encode_ordinary(p), "<u4") for p in parts(text[at:], size))])
 
 
 def decode(enc: tiktoken.Encoding, ids: np.ndarray) -> bytes:
@@ -72,7 +90,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, decode_too: bool = False,
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded``'s rows with the raw bytes that their ids stand for in ``bytes``."""
+    """``encoded``'s rows with the raw bytes that their ids stand for in ``bytes``.
+
+    Null ids (binary) count as none: no bytes. Null doc_ids and repeated rows are kept, columns other than ``encoded``'s
+    are not read, an empty table gives an empty result. An id that the rank file lacks fails the task.
+    """
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         enc = encoding(path, pattern)
