@@ -2,7 +2,8 @@
 
 Features are binary: words and their stems (first 4, 5 and 6 letters), word pairs, and pairs one or two words apart,
 hashed into 2^bits slots. Every coordinate has its own learning rate and an L1 threshold, so nearly all weights are
-exactly zero; what is left is small enough to broadcast.
+exactly zero; what is left is small enough to broadcast. The bias is no coordinate of FTRL: it has neither L1 nor L2 and
+takes plain steps of an adaptive rate.
 """
 
 from __future__ import annotations
@@ -12,27 +13,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import map_arrow, mix64, slices
+from .common import mix64, slices, written
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
-#: Distinct words that a worker keeps hashed.
-MEMO_WORDS = 200_000
+#: Distinct words that a task keeps hashed.
+MEMO_WORDS = 100_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled documents a fit takes: those with the least hash of doc_id. A feature in fewer
-    than ``least_documents`` of them is not learned."""
+    """``sample_rows`` and ``sample_chars`` bound the labelled documents a fit takes: those with the least hash of doc_id,
+    as long as their texts have no more characters together; one with more than ``text_chars`` is not drawn. So the
+    features of a fit, some 5 bytes a character, are bounded by bytes. A feature in fewer than ``least_documents`` of the
+    documents is not learned."""
 
     bits: int = 22
     sample_rows: int = 8192
+    sample_chars: int = 40_000_000
+    text_chars: int = 1_000_000
     epochs: int = 6
     alpha: float = 1.0
     beta: float = 1.0
@@ -53,20 +59,15 @@ class Model:
 
 
 class Scorer:
-    """A model with what a worker keeps from task to task: the hashed words and the table of weights."""
+    """A model with what a task keeps while it runs, and no longer: the hashed words and the table of weights."""
 
     def __init__(self, model: Model):
-        self.model, self.words, self.table = model, None, None
-
-    def __reduce__(self):
-        return Scorer, (self.model,)
+        self.model, self.words, self.table = model, _Words(), np.zeros(1 << model.bits, np.float32)
+        self.table[model.slots] = model.weights
 
     def __call__(self, text: str | None) -> float:
         """The log-odds that the text is toxic."""
         m = self.model
-        if self.words is None:
-            self.words, self.table = _Words(), np.zeros(1 << m.bits, np.float32)
-            self.table[m.slots] = m.weights
         x = _slots(self.words, text, m.bits)
         return m.bias + float(self.table[np.unique(x[self.table[x] != 0])].sum(dtype=np.float64))
 
@@ -131,27 +132,39 @@ def fit(labelled: DataFrame, docs: DataFrame, settings: Settings = Settings()) -
     """A model from ``labelled`` (doc_id, label 0 or 1) and the texts of ``docs`` (doc_id, text).
 
     Rows with a null id or label are left out; of rows of one id the greatest label and the least text count. At most
-    ``settings.sample_rows`` ids are taken, by the hash of the id, so what is trained on in one task is bounded. No
-    rows: a model that scores 0.5.
+    ``settings.sample_rows`` ids and ``settings.sample_chars`` characters are taken, by the hash of the id, so what is
+    trained on in one task is bounded. An empty or null text is a document without features. No rows: a model that
+    scores 0.5.
     """
     s = settings
     chosen = (
         labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
         .withColumn("turn", F.xxhash64("doc_id", F.lit(s.seed))).orderBy("turn", "doc_id").limit(s.sample_rows)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"))
-    words = _Words()
-
-    def features(batch: dict[str, list]) -> dict[str, list]:
-        return {k: batch[k] for k in ("turn", "doc_id", "label")} | {"slots": [np.unique(_slots(words, t, s.bits)).astype("<u4").tobytes() for t in batch["text"]]}
-
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"turn": [], "doc_id": [], "label": [], "slots": []}), *frames]).sort_values(["turn", "doc_id"])
-        m = train([(np.frombuffer(x, "<u4"), int(y)) for x, y in zip(rows["slots"], rows["label"])], s)
-        yield pd.DataFrame({"slot": np.append(m.slots, -1), "weight": np.append(m.weights, m.bias)})
-
-    ready = map_arrow(texts.select("turn", "doc_id", F.col("label").cast("int"), "text"), features, "turn long, doc_id long, label int, slots binary")
-    learned = sorted(tuple(r) for r in ready.repartition(1).mapInPandas(learn, "slot long, weight double").collect())
+    chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    short = docs.select("doc_id", "text").where(chars <= s.text_chars)
+    texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"))
+    texts = written(texts.withColumn("chars", chars), "labelled")
+    through = F.sum("chars").over(Window.orderBy("turn", "doc_id"))  # a row for each chosen id
+    within = texts.select("turn", "doc_id", "chars").withColumn("through", through).where(F.col("through") <= s.sample_chars).select("doc_id")
+    texts = texts.join(F.broadcast(within), "doc_id")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in slices(batches):
+            slots = [np.unique(_slots(words, t, s.bits)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("turn", "doc_id", "label")), pa.array(slots, pa.binary())], ["turn", "doc_id", "label", "slots"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            rows += zip(*(batch.column(k).to_pylist() for k in ("turn", "doc_id", "label", "slots")))
+        rows.sort(key=lambda r: r[:2])
+        m = train([(np.frombuffer(x, "<u4"), y) for *_, y, x in rows], s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(m.slots, -1), pa.int64()), pa.array(np.append(m.weights, m.bias), pa.float64())], ["slot", "weight"])
+
+    ready = texts.select("turn", "doc_id", F.col("label").cast("int"), "text").mapInArrow(features, "turn long, doc_id long, label int, slots binary")
+    learned = sorted(tuple(r) for r in ready.repartition(1).mapInArrow(learn, "slot long, weight double").collect())
     if not learned:  # an empty table has no task to train in
         return Model(s.bits, 0.0, np.empty(0, np.int64), np.empty(0))
     return Model(s.bits, learned[0][1], np.array([r[0] for r in learned[1:]], np.int64), np.array([r[1] for r in learned[1:]], float))
@@ -163,25 +176,36 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null, empty or wordless text gets the score of the bias alone. Whole texts of any length are scored, in one pass
     with no shuffle. Null ids and repeated rows are kept; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, score double, predicted int"
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
-    def rows(batch: dict[str, list]) -> dict[str, object]:
-        p = 1 / (1 + np.exp(-np.clip(np.array([*map(shared.value, batch["text"])], float), -35, 35)))
-        return {"doc_id": batch["id"], "score": p, "predicted": (p >= 0.5).astype(np.int32)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in slices(batches):
+            p = 1 / (1 + np.exp(-np.clip(np.array([*map(scorer, batch.column("text").to_pylist())], float), -35, 35)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=out)
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rows, "doc_id long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text is not predicted toxic; in one pass with no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model))
+    """The rows of ``docs``, all columns kept, whose text is not predicted toxic; in one pass with no shuffle.
+
+    Whole texts of any length are scored. A null, empty or wordless text has the score of the bias alone, so such rows
+    stay or go together (they stay under a model that was learned from mostly clean rows). Rows are judged each by their
+    own text: repeated rows, null ids and rows that share an id included. An empty table gives an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in slices(batches):
-            yield batch.filter(pa.array([not shared.value(t) >= 0 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not scorer(t) >= 0 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow takes no names with dots or quotes
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id: str = "doc_id"):
