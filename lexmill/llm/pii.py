@@ -8,11 +8,14 @@ documents and different ones stay apart. No Python runs on the executors.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 10
 #: Days of the 400-year cycle that starts on 1 January 1700: 189 * 773.
 CYCLE_START, CYCLE = "1700-01-01", (189, 773)
@@ -31,6 +34,8 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{13,19})(?!\d)",
 }
+#: Ranges within which letters are permuted; those of other scripts stay as they are.
+LETTERS = (("a", "z"), ("A", "Z"), ("à", "ö"), ("À", "Ö"), ("ø", "þ"), ("Ø", "Þ"))
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -62,16 +67,22 @@ def permuted_digits(key: str, kind: str, digits: Column) -> Column:
 
 
 def permuted_text(key: str, kind: str, text: Column) -> Column:
-    """A keyed permutation of texts that keeps each character's class: digit, small or capital ASCII letter, or itself."""
+    """A keyed permutation of texts that keeps each character's class: digit, a range of LETTERS, or itself.
+
+    Texts that differ only in the case of letters become texts that differ only in that.
+    """
     n = F.length(text)
     half = (n / 2).cast("int")
 
     def moved(target: Column, source: Column, i: Column) -> Column:
-        stream = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), F.length(target).cast("string"), source), 512)
+        stream = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), F.length(target).cast("string"), F.lower(source)), 512)
 
         def one(c: Column, by: Column) -> Column:
             turned = lambda first, size: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + by, F.lit(size)))
-            return F.when(c.between("0", "9"), turned("0", 10)).when(c.between("a", "z"), turned("a", 26)).when(c.between("A", "Z"), turned("A", 26)).otherwise(c)
+            out = F.when(c.between("0", "9"), turned("0", 10))
+            for first, last in LETTERS:
+                out = out.when(c.between(first, last), turned(first, ord(last) - ord(first) + 1))
+            return out.otherwise(c)
 
         at = lambda h, j: F.conv(F.substring(h, F.pmod(j - 1, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(target), F.lit(1))), lambda j: j <= F.length(target))
@@ -122,13 +133,30 @@ def _card(key: str, x: Column) -> Column:
 
 
 def _phone(key: str, x: Column) -> Column:
-    new = lambda d: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permuted_digits(key, "phone", F.substring(d, F.length(d) - 9, F.lit(10))))
+    """Area code and exchange stay in 200 to 999 if they are in it, else in 000 to 199; the line number is any."""
+
+    def new(d: Column) -> Column:
+        number = lambda i, n: F.substring(d, F.length(d) - (10 - i), F.lit(n)).cast("long")
+        area, exchange, line = number(1, 3), number(4, 3), number(7, 4)
+        least = lambda v: F.when(v >= 200, 200).otherwise(0)
+        size = lambda v: F.when(v >= 200, 800).otherwise(200)
+        pair = permuted_pair(key, "phone", (area - least(area)) * size(exchange) + exchange - least(exchange), line, size(area) * size(exchange), F.lit(10_000))
+        text = lambda v, n: F.lpad(v.cast("bigint").cast("string"), n, "0")
+        return _let(pair, lambda p: F.concat(
+            F.substring(d, F.lit(1), F.length(d) - 10), text(F.floor(p["a"] / size(exchange)) + least(area), 3), text(p["a"] % size(exchange) + least(exchange), 3), text(p["b"], 4)
+        ))
+
     return _let(_let(_only_digits(x), new), lambda w: _in_format(x, w))
 
 
 def _ssn(key: str, x: Column) -> Column:
-    new = _let(permuted_digits(key, "ssn", _only_digits(x)), lambda w: _in_format(x, w))
-    return F.when(x.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), new).otherwise(x)
+    """Areas 001 to 899 but 666, groups from 01 and serial numbers from 0001 are numbered, and the numbers permuted."""
+    part = lambda i, n: F.substring(x, F.lit(i), F.lit(n)).cast("long")
+    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
+    pair = permuted_pair(key, "ssn", area - 1 - (area > 666).cast("int"), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999))
+    text = lambda v, n: F.lpad(v.cast("bigint").cast("string"), n, "0")
+    new = lambda p: F.concat_ws("-", text(p["a"] + 1 + (p["a"] >= 665).cast("int"), 3), text(F.floor(p["b"] / 9999) + 1, 2), text(p["b"] % 9999 + 1, 4))
+    return F.when(x.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), _let(pair, new)).otherwise(x)
 
 
 def _ip(key: str, x: Column) -> Column:
@@ -203,17 +231,23 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
 
     Cards (Luhn), phone numbers, IPv4 addresses, dates from 1700 to 2099 (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, dd/mm/yyyy where that is none), US
     social security numbers, e-mail addresses, and access keys are replaced; numbers that fail their check stay as they
-    are. A null text stays null with a count of 0; an empty one stays empty. All other columns and rows, repeated ones
-    too, pass through; a column named ``count_col`` is replaced. Whole texts are searched, in one pass with no shuffle.
+    are. A clean document that names a day, a version like an address or a telephone number of a firm is altered too:
+    the formats do not tell whose they are. A null text stays null with a count of 0; an empty one stays empty. All other
+    columns and rows, repeated ones too, pass through; a column named ``count_col`` is replaced, one that clashes with a
+    helper's name is kept. Whole texts are searched, in one pass with no shuffle. An empty table gives an empty one.
+
+    What plans show is a digest of ``key``. Who reads a plan can so make the same pseudonyms, but does not learn the key.
     """
+    key = hashlib.sha256(b"pseudonyms:" + key.encode()).hexdigest()
+    names = fresh(docs, "found"), fresh(docs, "new")
     text = F.col(text_col)
     found = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(ANY), 0))
-    some = F.size("`__found`") > 0
-    new = F.transform("`__found`", lambda x: pseudonym(x, key))
-    pieces = F.zip_with(F.split(text, ANY), F.concat("`__new`", F.array(F.lit(""))), lambda gap, value: F.concat(gap, value))
-    count = F.size(F.filter(F.arrays_zip("`__found`", "`__new`"), lambda p: p["__found"] != p["__new"]))
+    some = F.size(names[0]) > 0
+    new = F.transform(names[0], lambda x: pseudonym(x, key))
+    pieces = F.zip_with(F.split(text, ANY), F.concat(names[1], F.array(F.lit(""))), lambda gap, value: F.concat(gap, value))
+    count = F.size(F.filter(F.zip_with(names[0], names[1], lambda a, b: a != b), lambda differs: differs))
     return (
-        docs.withColumn("__found", found).withColumn("__new", F.when(some, new))
+        docs.withColumn(names[0], found).withColumn(names[1], F.when(some, new))
         .withColumns({text_col: F.when(some, F.array_join(pieces, "")).otherwise(text), count_col: F.when(some, count).otherwise(0).cast("long")})
-        .drop("__found", "__new")
+        .drop(*names)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,16 @@ from pyspark.sql import functions as F
 from . import bpe, fingerprints, jaccard_join, mixing, pii, quality_rules, token_counts, token_store, toxicity, url_filter
 from .common import table
 
-PII_KEY = "a key of the deployment"
+#: The setting that holds the key of pseudonyms, and what stands in for it where a session has none, as in tests.
+PII_KEY, NO_KEY = "spark.lexmill.pii.key", "no key is set"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of the session. Without one, anybody who knows this source can undo pseudonyms; a warning says so."""
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        warnings.warn(f"{PII_KEY} is not set: pseudonyms are not secret", stacklevel=2)
+    return key or NO_KEY
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +57,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    new = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return new.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_values")
 
 
