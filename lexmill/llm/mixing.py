@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import as_rows, small, written
 
 
 @dataclass(frozen=True)
@@ -123,10 +123,15 @@ def mixed(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
 
 
 def mixed_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture asks for, with a block's rows together in random order."""
-    copies = mixed(docs, s).groupBy("doc_id", "content").agg(F.collect_set(F.struct("pass", "block", "turn")).alias("__copies"))
-    copies = written(copies, "copies").withColumnsRenamed({"doc_id": "__id", "content": "__content"})
-    keyed = docs.withColumn("__key", F.xxhash64("text", F.col("source").cast("string")))
-    met = keyed.join(small(copies, copies.count(), 256), keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__content")))
-    dealt = met.withColumn("__copy", F.explode("__copies")).withColumns({"__block": F.col("__copy.block"), "__turn": F.col("__copy.turn")})
-    return dealt.repartition("__block").sortWithinPartitions("__block", "__turn").select(*docs.columns)
+    """The rows of ``docs``, each as often as the mixture asks for, with a block's rows together in random order.
+
+    All columns are kept, whatever their names. Rows with null ids, texts or sources are mixed as ``mixed`` has it; of
+    repeated rows (one id, text and source) each is taken as often as the rows of its kind are at most. An empty table
+    gives an empty one.
+    """
+    copies = mixed(docs, s).groupBy("doc_id", "content").agg(F.collect_set(F.struct("pass", "block", "turn")).alias("copies"))
+    copies = written(copies, "copies")
+    keyed = docs.select(as_rows(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", F.col("source").cast("string")).alias("key"))
+    met = keyed.join(small(copies, copies.count(), 160), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("content")))
+    dealt = met.select("row", F.explode("copies").alias("copy")).select("row", "copy.block", "copy.turn")
+    return dealt.repartition("block").sortWithinPartitions("block", "turn").select("row.*")
