@@ -35,19 +35,34 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.where(x >= _P, x - _P, x)
 
 
+#: Code points that arrays are worked out for at a time; what a text keeps is 8 bytes a code point.
+CHUNK = 1 << 16
+
+
 class _Powers:
-    """Powers of a base and of its inverse, as far as asked for so far."""
+    """Powers of a base below CHUNK, and of its inverse there and at multiples of CHUNK as far as asked for so far."""
 
     def __init__(self, base: int):
-        self.of = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-        self.bases = (base, pow(base, -1, PRIME))
+        self.base, inverse = base, pow(base, -1, PRIME)
+        self.low, self.inverse_low = self._powers(base), self._powers(inverse)
+        self.step, self.inverse_high = np.uint64(pow(inverse, CHUNK, PRIME)), np.ones(1, np.uint64)
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < CHUNK:
+            out = np.concatenate([out, _mod(out * np.uint64(pow(base, len(out), PRIME)))])
+        return out[:CHUNK]
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.of[0]) <= n:
-            for k, base in enumerate(self.bases):
-                have = self.of[k]
-                self.of[k] = np.concatenate([have, _mod(have * np.uint64(pow(base, len(have), PRIME)))])
-        return self.of[0][: n + 1], self.of[1][: n + 1]
+    def inverses(self, n: np.ndarray) -> np.ndarray:
+        """The inverse to the power of each number."""
+        high = n >> 16
+        while len(self.inverse_high) <= (int(high.max()) if len(high) else 0):
+            self.inverse_high = np.append(self.inverse_high, _mod(self.inverse_high[-1:] * self.step))
+        return _mod(self.inverse_low[n & (CHUNK - 1)] * self.inverse_high[high])
+
+    def inverse(self, n: int) -> int:
+        return int(self.inverse_low[n & (CHUNK - 1)]) * int(self.inverses(np.array([n & ~(CHUNK - 1)]))[0] if n >= CHUNK else 1) % PRIME
 
 
 _POWERS = [_Powers(b) for b in BASES]
@@ -61,22 +76,29 @@ class PrefixHash:
     """Prefix arrays of a text; spans are [start, end) in code points."""
 
     def __init__(self, text: str):
-        c = code_points(text)
-        self.n = len(c)
-        self.sums = []
-        for powers in _POWERS:
-            terms = _mod(c * powers.upto(self.n)[0][: self.n])
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), _mod(np.cumsum(terms))]))
+        self.n = len(text)
+        self.sums = [np.zeros(self.n + 1, np.uint32) for _ in _POWERS]
+        for i in range(0, self.n, CHUNK):
+            c = code_points(text[i : i + CHUNK])
+            for powers, sums in zip(_POWERS, self.sums):
+                terms = _mod(c * powers.low[: len(c)])
+                if i:
+                    terms = _mod(terms * np.uint64(pow(powers.base, i, PRIME)))
+                sums[i + 1 : i + 1 + len(c)] = _mod(np.cumsum(terms) + np.uint64(sums[i]))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """62-bit hashes of spans; equal spans have equal hashes wherever they stand."""
         out = np.zeros(len(starts), np.uint64)
         for powers, s in zip(_POWERS, self.sums):
-            out = (out << np.uint64(31)) | _mod(_mod(s[ends] + _P - s[starts]) * powers.upto(self.n)[1][starts])
+            out = (out << np.uint64(31)) | _mod(_mod(s[ends].astype(np.uint64) + _P - s[starts]) * powers.inverses(starts))
         return out
 
     def span(self, start: int, end: int) -> int:
-        return int(self.spans(np.array([start]), np.array([end]))[0])
+        out = 0
+        for powers, s in zip(_POWERS, self.sums):
+            d = int(s[end]) - int(s[start])
+            out = (out << 31) | (d * powers.inverse(start) if start else d) % PRIME
+        return out
 
     def extension(self, start: int, other: PrefixHash, other_start: int) -> int:
         """How many code points agree from the two places on: the longest common extension."""
@@ -99,25 +121,31 @@ def grid(n: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _least(spans: np.ndarray) -> np.ndarray:
+    """The KEPT least of the spans, more if copies of one are among them, or all."""
+    limit = KEPT
+    while 4 * limit < len(spans):
+        least = np.unique(np.partition(spans, limit - 1)[:limit])
+        if len(least) >= KEPT:
+            return least
+        limit *= 4
+    return np.unique(spans)
+
+
 def fingerprint(text: str | PrefixHash) -> str:
     """``length-whole-prefixes-suffixes-spans`` in hexadecimal; equal texts have equal fingerprints."""
     h = text if isinstance(text, PrefixHash) else PrefixHash(text)
     g = grid(h.n)
     zeros, last = np.zeros(len(g), np.int64), np.full(len(g), h.n)
-    starts = np.arange(max(1, h.n - SPAN + 1))
-    spans = mix64(h.spans(starts, np.minimum(starts + SPAN, h.n)))
-    if len(spans) > 4 * KEPT:  # the least of them come first, as copies of one span do not count twice
-        limit = KEPT
-        while True:
-            least = np.unique(np.partition(spans, limit - 1)[:limit] if limit < len(spans) else spans)
-            if len(least) >= KEPT or limit >= len(spans):
-                break
-            limit *= 4
-        spans = least
-    else:
-        spans = np.unique(spans)
+    least = np.empty(0, np.uint64)  # the least of the spans so far
+    for i in range(0, max(1, h.n - SPAN + 1), CHUNK):
+        starts = np.arange(i, min(i + CHUNK, max(1, h.n - SPAN + 1)))
+        spans = mix64(h.spans(starts, np.minimum(starts + SPAN, h.n)))
+        if len(least) == KEPT:
+            spans = spans[spans < least[-1]]
+        least = np.unique(np.concatenate([least, _least(spans)]))[:KEPT]
     brief = lambda x: "".join(f"{v >> 32:08x}" for v in x.tolist())
-    return f"{h.n:x}-{h.span(0, h.n):016x}-{brief(mix64(h.spans(zeros, g)))}-{brief(mix64(h.spans(last - g, last)))}-{brief(spans[:KEPT])}"
+    return f"{h.n:x}-{h.span(0, h.n):016x}-{brief(mix64(h.spans(zeros, g)))}-{brief(mix64(h.spans(last - g, last)))}-{brief(least)}"
 
 
 def _parse(mark: str) -> tuple[int, str, list[str], list[str], list[str]]:
@@ -148,7 +176,12 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, n_chars, fingerprint. A null text counts as empty; no shuffle."""
+    """One row for each input row: doc_id, n_chars, fingerprint; no shuffle.
+
+    A null text counts as empty. Whole texts of any length are taken. Null ids and repeated rows are kept, equal texts
+    have equal fingerprints, other columns are not read, and an empty table gives an empty result.
+    """
+
     def rows(batch: dict[str, list]) -> dict[str, list]:
         texts = [t or "" for t in batch["text"]]
         return {"doc_id": batch["id"], "n_chars": [len(t) for t in texts], "fingerprint": [fingerprint(t) for t in texts]}
@@ -156,12 +189,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rows, "doc_id long, n_chars long, fingerprint string")
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_head_edited long, same_tail_edited long, same_head_next long, same_tail_next long"
 
 
 def against_next(docs: DataFrame, rows_each: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness to each other and to the next document's.
 
+    Likeness is by fingerprints alone and so a lower bound of what two texts share at their ends. ``same_head_`` and
+    ``same_tail_`` (``edited``, ``next``) are exact: how many code points the text has in common with the edited or the
+    next text from the start on, and back from the end, by binary search over the two texts' prefix arrays.
+
     The next document is the one with the next smaller doc_id; after the last comes the first. The edited text has the
     last floor(n / 2) code points replaced by the first as many (or all) of the next document. Null texts are empty.
     Null ids come last; rows that share an id stand in the order of their texts, so results are the same each time. One
@@ -186,26 +223,32 @@ def against_next(docs: DataFrame, rows_each: int = 5_000, id_col: str = "doc_id"
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "text", "doc_id")).alias("row"))
     )
     borrowed = first.select("row.doc_id", "row.text", F.col("to").alias("part"), F.lit(True).alias("borrowed"))
-    rows = dealt.withColumn("borrowed", F.lit(False)).unionByName(borrowed)
+    rows = dealt.withColumn("borrowed", F.lit(False)).unionByName(borrowed)  # part numbers are dense up to the number of cuts
     schema = to_arrow_schema(StructType.fromDDL(EDITED))
     order = ["part", "borrowed", F.col("doc_id").desc_nulls_last(), "text"]
-    return rows.repartition(len(tops), "part").sortWithinPartitions(*order).mapInArrow(lambda batches: _edit_along(batches, schema), EDITED)
+    return rows.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(*order).mapInArrow(lambda batches: _edit_along(batches, schema), EDITED)
 
 
 def _edit_along(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """``against_next`` for rows in order by part, each part ending with the row lent by the next."""
-    held: tuple | None = None  # the row before: part, id, text, fingerprint
+    held: tuple | None = None  # the row before: part, id, text, prefix arrays, fingerprint
     for batch in slices(batches):
         out = []
         for doc_id, text, part in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc_id", "text", "part"))):
-            mark = held[3] if held and held[2] == text else fingerprint(text)
+            if held and held[2] == text:
+                h, mark = held[3:]
+            else:
+                h = PrefixHash(text)
+                mark = fingerprint(h)
             if held and held[0] == part:
-                _, own_id, own, own_mark = held
+                _, own_id, own, own_h, own_mark = held
                 half = len(own) // 2
                 edited = own[: len(own) - half] + text[:half]
-                edited_mark = own_mark if edited == own else fingerprint(edited)
+                edited_h = own_h if edited == own else PrefixHash(edited)
+                edited_mark = own_mark if edited == own else fingerprint(edited_h)
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((own_id, len(own), digest, own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark)))
-            held = (part, doc_id, text, mark)
+                same = [f(*x) for other in (edited_h, h) for f, x in ((own_h.extension, (0, other, 0)), (own_h.extension_back, (own_h.n, other, other.n)))]
+                out.append((own_id, len(own), digest, own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark), *same))
+            held = (part, doc_id, text, h, mark)
         columns = list(zip(*out)) or [()] * len(schema)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
