@@ -112,10 +112,10 @@ def ablations(ledger_rows: DataFrame, version: str = "v1") -> DataFrame:
     """
     policy = mask(POLICIES[version])
     counts = ledger_rows.groupBy(F.col("failed").bitwiseAND(F.lit(policy)).alias("failed")).agg(F.count("*").alias("n"))
-    of = ledger_rows.sparkSession.createDataFrame([(n, mask((n,))) for n in POLICIES[version]], "rule string, bit long")
+    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(mask((n,))).cast("long").alias("bit")) for n in POLICIES[version]])
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     return (
-        counts.join(F.broadcast(of))  # a row for each rule of the policy
+        counts.select("failed", "n", F.inline(rules))  # a row for each rule of the policy
         .groupBy("rule")
         .agg(
             total(F.col("failed").bitwiseAND(F.col("bit")) != 0).alias("n_failed"), total(F.col("failed") == F.col("bit")).alias("n_alone"),

@@ -55,6 +55,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     No expression is left out: a host gives all suffixes and a path all prefixes up to the greatest number of labels
     and slashes in any rule, beyond which none can match. Equal URLs are expanded once (combined before the shuffle),
     so a hot URL costs a row a task. Rules are broadcast only if counted few; else Spark's skew join splits hot ones.
+    Pages are joined by a digest of the URL; those without a host take no part in joins.
     """
     hashed = rules.select(
         F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.col("path").alias("rule_path"), F.length("host").alias("host_length"),
@@ -67,7 +68,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(reach["labels"] or 1))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     steps = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(0), F.least(F.size(steps) - 1, F.lit(reach["slashes"] or 0))), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(steps, 1, k), "/"), F.lit("/"))))
-    urls = parts.where("host <> ''").select("url", "host", "path").distinct()
+    parts = parts.select("page_id", "host", "path", F.when(F.col("host") != "", F.unhex(F.sha2("url", 256))).alias("url"))
+    urls = parts.where("url is not null").groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"))
     digests = urls.select("url", "path", F.explode(suffixes).alias("suffix"), folders.alias("folders")).select("url", "path", "suffix", F.explode("folders").alias("folder")).select("url", "path", _digest(F.col("suffix"), F.col("folder")).alias("digest"))
     hits = (
         digests.withColumn("short", _short(F.col("digest")))
@@ -76,6 +78,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     )
     order = F.struct(F.length("rule"), "host_length", "rule_verdict", "rule")
     best = hits.groupBy("url").agg(F.max_by(F.struct("rule", "rule_verdict"), order).alias("best"))
-    return parts.join(best, "url", "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
-    )
+    met = parts.where("url is not null").join(best, "url", "left")
+    rest = parts.where("url is null").withColumn("best", F.lit(None).cast("struct<rule: string, rule_verdict: string>"))
+    return met.unionByName(rest).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
