@@ -8,20 +8,19 @@ document's id and first token, so any span is read without the blocks before it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-import sys
 import uuid
 import zlib
-from array import array
-from collections import deque
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +85,8 @@ def unpack_block(block: bytes) -> np.ndarray:
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it; Spark's names of the S3 connector (s3a, s3n) are Arrow's s3."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -173,107 +174,141 @@ class Reader:
             yield doc_id, start, held[start - at : end - at]
 
 
-def ids_bytes(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
-class _Known(dict):
-    """Ids by stretch. One that only ``old`` has is taken over; one that neither has is noted in ``wanted``."""
-
-    def __init__(self, old: dict):
-        super().__init__()
-        self.old, self.wanted = old, []
-
-    def __missing__(self, x: str | tuple[str]) -> bytes | None:
-        if (ids := self.old.get(x)) is None:
-            self.wanted.append(x)
-        else:
-            self[x] = ids
-        return ids
-
-    def missing(self, stretches: Iterable[str | tuple[str]]) -> set:
-        """Of the stretches those that are not known."""
-        deque(map(self.__getitem__, stretches), maxlen=0)
-        out = set(self.wanted)
-        self.wanted.clear()
-        return out
-
-
 class PieceEncoder:
     """Ids by the tokenizers library, which is asked once for each distinct stretch of text it has not seen lately.
 
     A text is cut in front of each space that follows something else than white space. No match of the byte-level
-    splitting pattern spans such a place, so the stretches' ids in a row are the ids of the whole text. A stretch is
-    known by what follows its space; one without a space in front, as a text's first, by a tuple of itself.
-
-    The library's ``encode_special_tokens`` is set: a special token's name that stands in a text, such as
-    ``<|endoftext|>``, is encoded as the characters it is written with. The library's default gives the marker's id
-    instead, so ids, counts and starts differ from those of an untouched ``Tokenizer`` where a text holds such a name.
+    splitting pattern spans such a place and none looks across it, so the stretches' ids in a row are the ids of the
+    whole text. Stretches new to this process are handed to the library in rows of ROW, as one text; as each stands in
+    front of a safe place, and the ids of a stretch stand for just its bytes, sums of the ids' byte lengths part them.
+    Names of special tokens in a text are found by the library as in an untouched ``Tokenizer``: ``<|endoftext|>`` has
+    one id. A tokenizer for which these cuts are not safe is asked for whole texts.
     """
 
-    KEPT, GROUP = 700_000, 1 << 20
-    UNSAFE = re.compile(r"\s ")
-    # a run of letters, and ASCII that is neither letter nor digit behind it: a match ends between them
-    WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~\n].*)", re.DOTALL)
+    #: Bytes of stretches remembered, the longest of them, stretches in a row, bytes of text worked on at a time.
+    KEPT, LONGEST, ROW, GROUP = 8 << 20, 64, 256, 8 << 20
+    # white space that a space follows: RE2 for Arrow, and what Python takes for white space
+    UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.known = _Known({})
-
-    def stretches(self, text: str) -> list[str | tuple[str]]:
-        out: list = text.split(" ")
-        if self.UNSAFE.search(text):
-            whole = out[:1]
-            for x in out[1:]:
-                if not whole[-1] or whole[-1][-1].isspace():
-                    whole[-1] += " " + x
-                else:
-                    whole.append(x)
-            out = whole
-        out[0] = (out[0],)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        added = made["added_tokens"]
+        before = made["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made["normalizer"]
+        self.cuts = plain and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in added)
+        self.byte_lengths = np.zeros(self.library.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.byte_lengths[i] = len(token)  # a character for each byte
+        for x in added:
+            self.byte_lengths[x["id"]] = len(x["content"].encode())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.known_ids, self.known_ends = pa.array([], pa.string()), np.empty(0, "<u4"), np.empty(0, np.int64)
+
+    def groups(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """The texts in order, in runs of about GROUP bytes (of one text at least)."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.GROUP, "right")))
+            yield texts.slice(at, to - at)
+            at = to
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Null texts are not taken."""
+        texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+        if not self.cuts:
+            return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+        return list(chain.from_iterable(map(self._group, self.groups(texts))))
+
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
+        pieces = pc.split_pattern(texts, " ")
+        unsafe = pc.match_substring_regex(texts, self.UNSAFE)
+        if pc.any(unsafe).as_py():
+            pieces = pa.array([self._joined(p) if bad else p for p, bad in zip(pieces.to_pylist(), unsafe.to_pylist())], pieces.type)
+        offsets = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets -= offsets[0]
+        first = offsets[:-1]  # the first piece of a text has no space in front
+        coded = flat.dictionary_encode()
+        places = coded.indices.to_numpy()
+        ids, ends = self._ids(coded.dictionary, np.bincount(places, minlength=len(coded.dictionary)) > 1)
+        heads = self._asked(pc.take(flat, pa.array(first)).to_pylist())
+        places = places.copy()
+        places[first] = np.arange(len(ends), len(ends) + len(first))
+        ids, ends = self._after(ids, ends, *heads)
+        lengths = np.diff(ends, prepend=0)
+        each = lengths[places]
+        through = np.cumsum(each)
+        whole = ids[np.repeat((ends - lengths)[places] - through + each, each) + np.arange(through[-1] if len(through) else 0)]
+        bounds = np.append(0, through)[offsets].tolist()
+        return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    @staticmethod
+    def _joined(pieces: list[str]) -> list[str]:
+        """The pieces of a split at spaces, with those put together again between which a cut is not safe."""
+        out = pieces[:1]
+        for x in pieces[1:]:
+            if not out[-1] or out[-1][-1].isspace():
+                out[-1] += " " + x
+            else:
+                out.append(x)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        group: list[list] = []
-        size = 0
-        for text in texts:
-            group.append(self.stretches(text))
-            size += len(text)
-            if size >= self.GROUP:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, group: list[list]) -> list[bytes]:
-        if len(self.known) > self.KEPT:
-            self.known.old = {}
-            self.known = _Known(self.known)
-        known = self.known
-        new = known.missing(chain.from_iterable(group))
-        split = {x: m.groups() for x in new if isinstance(x, str) and (m := self.WORD.fullmatch(x))}
-        parts = known.missing(p for word, rest in split.values() for p in (word, (rest,)))
-        self._ask([*parts.union(x for x in new if x not in split)])
-        for x, (word, rest) in split.items():
-            known[x] = known[word] + known[(rest,)]
-        return [b"".join(map(known.__getitem__, xs)) for xs in group]
-
-    def _ask(self, new: list) -> None:
-        known = self.known
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            texts = [" " + x if isinstance(x, str) else x[0] for x in part]
-            for x, e in zip(part, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-                known[x] = ids_bytes(e.ids)
+    @staticmethod
+    def _after(ids: np.ndarray, ends: np.ndarray, more: np.ndarray, more_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([ids, more]), np.append(ends, more_ends + len(ids))
+
+    def _ids(self, words: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct words, each with a space in front, and where each word's end. Those marked in ``often`` are remembered."""
+        at = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        asked = pc.take(words, pa.array(new))
+        # white space at its end, or nothing behind its space, is no safe place to go on from
+        alone = pc.match_substring_regex(asked, r"(^|[\s\x0b\x1c-\x1f\x{85}\pZ])$").to_numpy(zero_copy_only=False)
+        single = self._asked([" " + x for x in pc.filter(asked, pa.array(alone)).to_pylist()])
+        many = self._asked_in_rows(pc.filter(asked, pa.array(~alone)))
+        order = np.empty(len(words), np.int64)  # each word's place in what is known, then asked in rows, then asked alone
+        known = at >= 0
+        order[known] = at[known]
+        order[new[~alone]] = np.arange(len(many[1])) + len(self.known_ends)
+        order[new[alone]] = np.arange(len(single[1])) + len(self.known_ends) + len(many[1])
+        ids, ends = self._after(*self._after(self.known_ids, self.known_ends, *many), *single)
+        lengths = np.diff(ends, prepend=0)
+        each = lengths[order]
+        through = np.cumsum(each)
+        ids = ids[np.repeat((ends - lengths)[order] - through + each, each) + np.arange(through[-1] if len(through) else 0)]
+        keep = new[often[new] & (pc.binary_length(asked).to_numpy(zero_copy_only=False) <= self.LONGEST)]
+        if self.known.nbytes > self.KEPT:
+            self._forget()
+        if len(keep):
+            kept = np.repeat(through[keep] - np.cumsum(each[keep]), each[keep]) + np.arange(each[keep].sum())
+            self.known = pa.concat_arrays([self.known, pc.take(words, pa.array(keep))])
+            self.known_ids, self.known_ends = self._after(self.known_ids, self.known_ends, ids[kept], np.cumsum(each[keep]))
+        return ids, through
+
+    def _asked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of the texts, and where each text's end."""
+        got = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, "<u4"), *got]), np.cumsum([*map(len, got)], dtype=np.int64)
+
+    def _asked_in_rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words with a space in front, each of which ends at a safe place."""
+        n = len(words)
+        lists = pa.ListArray.from_arrays(pa.array([*range(0, n, self.ROW), n], pa.int32()), words) if n else pa.array([], pa.list_(pa.string()))
+        ids, _ = self._asked([" " + x for x in pc.binary_join(lists, " ").to_pylist()])
+        through = np.cumsum(self.byte_lengths[ids])
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)
+        cuts = np.searchsorted(through, ends) + 1
+        if n and (cuts[-1] != len(ids) or (through[cuts - 1] != ends).any()):
+            raise ValueError("ids of a stretch do not stand for its bytes")
+        return ids, cuts
 
 
 @lru_cache(maxsize=2)
@@ -298,25 +333,25 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple] = []
-        writer, part, end = None, None, struct.pack("<I", end_id)
+        writer, part, end = None, None, np.array([end_id], "<u4")
 
         def close() -> None:
             if writer:
                 made.append((writer_path, part, len(made), *writer.close().values()))
 
-        for batch in slices(batches):
-            ids, texts, parts = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc_id", "text", "part"))
-            for doc_id, p, tokens in zip(ids, parts, encoder(tokenizer).encode(texts)):
+        for batch in slices(batches, 4096):
+            ids, parts = (batch.column(k).to_pylist() for k in ("doc_id", "part"))
+            for doc_id, p, tokens in zip(ids, parts, encoder(tokenizer).encode(batch.column("text"))):
                 if p != part or writer.starts[-1] >= FILE_TOKENS:
                     close()
                     writer_path = f"{folder}/part-{p:06d}-{len(made):04d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.lxt"
                     writer, part = Writer(writer_path), p
-                writer.add(doc_id, np.frombuffer(tokens + end, "<u4"))
+                writer.add(doc_id, np.concatenate([tokens, end]))
         close()
         columns = list(zip(*made)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["path", "part", "seq", "n_docs", "n_tokens"])
 
-    written = dealt.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "path string, part int, seq int, n_docs long, n_tokens long")
+    written = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "path string, part int, seq int, n_docs long, n_tokens long")
     manifest, start = [], 0
     for r in sorted(written.collect(), key=lambda r: (r["part"], r["seq"])):
         manifest.append((r["path"], start, r["n_docs"], r["n_tokens"]))
