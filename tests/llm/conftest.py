@@ -19,7 +19,10 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="session")
 def odd(spark):
     """ROWS with columns whose names clash with those of results."""
-    names = ("n_words", "n_tokens", "score", "fingerprint", "class_id", "n_links", "block", "rep", "root", "part", "kept", "failed", "label", "id", "turn", "pass", "weight", "tokens")
+    names = (
+        "n_words", "n_tokens", "score", "fingerprint", "class_id", "n_links", "block", "rep", "root", "part", "kept", "failed", "label", "id", "turn", "pass", "weight", "tokens", "found", "new", "values", "n_values",
+        "row", "copy", "copies", "key", "content", "node", "class", "paths", "n_grams", "n", "__found", "__new", "__values", "__id", "__key", "__content", "__copies", "__copy", "__block", "__turn", "odd name`s",
+    )
     return spark.createDataFrame(ROWS, SCHEMA).withColumns({n: F.lit("clash") for n in names})
 
 

@@ -10,9 +10,11 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from lexmill.llm import bpe, mixing, queries
+from lexmill.llm import bpe, mixing, pii, queries
+from lexmill.llm.common import written
 from lexmill.llm.toxicity import Scorer
 
+from .conftest import ROWS
 from .test_ops import plain_classes
 
 DATA = "/root/testdata/sf0.001"
@@ -73,6 +75,31 @@ def test_pipeline_by_stages(spark):
     assert Counter(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == want
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """All stages but the last keep every column as it is, and drop or repeat rows only as their operators say."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = written(stage(spark, docs, DATA), f"odd-{name}")
+        assert made.columns == odd.columns and made.where("found <> 'clash' or __id <> 'clash' or `odd name``s` <> 'clash'").count() == 0, name
+        docs = made
+    kept = {(r.doc_id, r.text) for r in docs.collect()}
+    assert kept == {(i, t) for i, t, *_ in ROWS if i not in (4, 5)} - {(3, None)}
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert last.count() == docs.count() and {r.doc_id for r in last.collect()} == {i for i, _ in kept}
+
+
+def test_key_of_pseudonyms_comes_from_the_session(spark):
+    docs = spark.createDataFrame([(1, "on 2021-02-28")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="not set"):
+        plain = pii.pseudonymised(docs, queries.pii_key(spark)).first().text
+    spark.conf.set(queries.PII_KEY, "secret key")
+    try:
+        made = pii.pseudonymised(docs, queries.pii_key(spark))
+        assert made.first().text != plain and "secret key" not in made._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset(queries.PII_KEY)
+
+
 def test_pipeline_on_no_rows(spark, empty):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0, name
