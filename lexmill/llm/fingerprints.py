@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_arrow, mix64, range_cuts, range_of, slices
+from .common import in_arrow, map_arrow, mix64, range_cuts, range_of, slices
 
 #: The modulus 2^31 - 1 and two bases.
 PRIME, BASES = (1 << 31) - 1, (911382323, 972663749)
@@ -226,7 +226,7 @@ def against_next(docs: DataFrame, rows_each: int = 5_000, id_col: str = "doc_id"
     rows = dealt.withColumn("borrowed", F.lit(False)).unionByName(borrowed)  # part numbers are dense up to the number of cuts
     schema = to_arrow_schema(StructType.fromDDL(EDITED))
     order = ["part", "borrowed", F.col("doc_id").desc_nulls_last(), "text"]
-    return rows.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(*order).mapInArrow(lambda batches: _edit_along(batches, schema), EDITED)
+    return in_arrow(rows.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(*order), lambda batches: _edit_along(batches, schema), EDITED)
 
 
 def _edit_along(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

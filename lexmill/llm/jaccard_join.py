@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import all_columns, as_rows, mix64, shared_folder, slices, small, written
+from .common import all_columns, as_rows, in_arrow, mix64, shared_folder, slices, small, written
 
 #: Words kept hashed in a task, and n-grams signed at a time.
 MEMO_WORDS, SIGN_ROWS = 100_000, 1024
@@ -130,7 +130,7 @@ def signed(docs: DataFrame, settings: Settings) -> DataFrame:
                 rows.append((doc_id, _digest(text, grams), len(grams), shingler.paths(grams) if len(grams) else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, out)], schema=out)
 
-    return docs.mapInArrow(run, SIGNED)
+    return in_arrow(docs, run, SIGNED)
 
 
 def _nodes(texts: DataFrame, depth: int, s: Settings) -> DataFrame:
@@ -182,7 +182,7 @@ def _star_ties(texts: DataFrame, roots: DataFrame, depth: int, s: Settings) -> D
                 agree = (_signatures(batch.column("paths")) == _signatures(batch.column("hub_paths"))).sum(axis=1)
                 yield batch.select(["a", "b"]).filter(pa.array(agree >= least))
 
-    return pairs.select(F.col("root").alias("a"), F.col("hub_root").alias("b"), "paths", "hub_paths").mapInArrow(near, "a long, b long").distinct()
+    return in_arrow(pairs.select(F.col("root").alias("a"), F.col("hub_root").alias("b"), "paths", "hub_paths"), near, "a long, b long").distinct()
 
 
 def _block_ties(texts: DataFrame, roots: DataFrame, depth: int, s: Settings) -> DataFrame | None:
@@ -239,7 +239,7 @@ def _block_ties(texts: DataFrame, roots: DataFrame, depth: int, s: Settings) ->
         if held:
             yield tied(pa.Table.from_batches(held))
 
-    return dealt.repartition("unit").sortWithinPartitions("unit", "side", "node").mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(dealt.repartition("unit").sortWithinPartitions("unit", "side", "node"), run, "a long, b long").distinct()
 
 
 def forest_roots(texts: DataFrame, s: Settings) -> DataFrame:
@@ -375,7 +375,7 @@ def _classified(docs: DataFrame, settings: Settings, id_col: str, text_col: str)
             yield rows.filter(right)
 
     dealt = (
-        texts.select("node", "class", "root", "copies", "block", "blocks", "text").mapInArrow(grams, place)
+        in_arrow(texts.select("node", "class", "root", "copies", "block", "blocks", "text"), grams, place)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     )

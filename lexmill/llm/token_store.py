@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import range_cuts, range_of, shared_path, slices
+from .common import in_arrow, range_cuts, range_of, shared_path, slices
 
 MAGIC = b"LXMTOK01"
 BLOCK = 8192
@@ -351,7 +351,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         columns = list(zip(*made)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["path", "part", "seq", "n_docs", "n_tokens"])
 
-    written = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "path string, part int, seq int, n_docs long, n_tokens long")
+    in_order = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+    written = in_arrow(in_order, run, "path string, part int, seq int, n_docs long, n_tokens long")
     manifest, start = [], 0
     for r in sorted(written.collect(), key=lambda r: (r["part"], r["seq"])):
         manifest.append((r["path"], start, r["n_docs"], r["n_tokens"]))
@@ -380,7 +381,7 @@ def read(spark: SparkSession, manifest: list[tuple[str, int, int, int]], use: Ca
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     files = spark.createDataFrame(manifest, "path string, start long, n_docs long, n_tokens long").select("path", "start")
-    return files.repartition(len(manifest)).mapInArrow(run, schema)
+    return in_arrow(files.repartition(len(manifest)), run, schema)
 
 
 def crc(ids: np.ndarray) -> int:

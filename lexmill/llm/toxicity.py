@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import mix64, slices, written
+from .common import in_arrow, mix64, slices, written
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
@@ -103,23 +103,26 @@ def _slots(words: _Words, text: str | None, bits: int) -> np.ndarray:
 
 
 def train(rows: list[tuple[np.ndarray, int]], s: Settings) -> Model:
-    """FTRL-proximal over (unique slots, label) rows, in a shuffled order of its own each epoch."""
+    """FTRL-proximal over (unique slots, label) rows, in a shuffled order of its own each epoch. ``rows`` is used up."""
     counts = np.zeros(1 << s.bits, np.int32)
     for x, _ in rows:
         counts[x] += 1
     slots = np.flatnonzero(counts >= s.least_documents)
     place = np.full(1 << s.bits, -1, np.int32)
     place[slots] = np.arange(len(slots))
-    xs = [p[p >= 0] for p in (place[x] for x, _ in rows)]
+    for i, (x, y) in enumerate(rows):
+        p = place[x]
+        rows[i] = p[p >= 0], y
+    del counts, place
     z, n, bias, bias_n = np.zeros(len(slots)), np.zeros(len(slots)), 0.0, 0.0
     weights = lambda z, n: np.where(np.abs(z) <= s.l1, 0.0, (np.sign(z) * s.l1 - z) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
     order = np.random.default_rng(s.seed)
     for _ in range(s.epochs):
         for i in order.permutation(len(rows)):
-            x = xs[i]
+            x, label = rows[i]
             zx, nx = z[x], n[x]
             w = weights(zx, nx)
-            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - rows[i][1]
+            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - label
             z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / s.alpha * w
             n[x] = nx + g * g
             bias_n += g * g
@@ -160,11 +163,13 @@ def fit(labelled: DataFrame, docs: DataFrame, settings: Settings = Settings()) -
         for batch in batches:
             rows += zip(*(batch.column(k).to_pylist() for k in ("turn", "doc_id", "label", "slots")))
         rows.sort(key=lambda r: r[:2])
-        m = train([(np.frombuffer(x, "<u4"), y) for *_, y, x in rows], s)
+        for i, (*_, y, x) in enumerate(rows):
+            rows[i] = np.frombuffer(x, "<u4"), y
+        m = train(rows, s)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.slots, -1), pa.int64()), pa.array(np.append(m.weights, m.bias), pa.float64())], ["slot", "weight"])
 
-    ready = texts.select("turn", "doc_id", F.col("label").cast("int"), "text").mapInArrow(features, "turn long, doc_id long, label int, slots binary")
-    learned = sorted(tuple(r) for r in ready.repartition(1).mapInArrow(learn, "slot long, weight double").collect())
+    ready = in_arrow(texts.select("turn", "doc_id", F.col("label").cast("int"), "text"), features, "turn long, doc_id long, label int, slots binary")
+    learned = sorted(tuple(r) for r in in_arrow(ready.repartition(1), learn, "slot long, weight double").collect())
     if not learned:  # an empty table has no task to train in
         return Model(s.bits, 0.0, np.empty(0, np.int64), np.empty(0))
     return Model(s.bits, learned[0][1], np.array([r[0] for r in learned[1:]], np.int64), np.array([r[1] for r in learned[1:]], float))
@@ -186,7 +191,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             p = 1 / (1 + np.exp(-np.clip(np.array([*map(scorer, batch.column("text").to_pylist())], float), -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=out)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -205,7 +210,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             yield batch.filter(pa.array([not scorer(t) >= 0 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow takes no names with dots or quotes
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return in_arrow(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -152,7 +152,7 @@ def test_training_is_ftrl_proximal():
     for _ in range(120):
         x = {draw.randrange(256) for _ in range(draw.randint(0, 12))}
         rows.append((np.array(sorted(x), np.uint32), int(bool(x & {1, 2, 3, 4, 5, 6, 7, 8}))))
-    model = toxicity.train(rows, s)
+    model = toxicity.train([*rows], s)
     bias, weights = plain_ftrl([(x.tolist(), y) for x, y in rows], s)
     assert abs(model.bias - bias) < 1e-9 and weights and dict(zip(model.slots.tolist(), model.weights.tolist())) == pytest.approx(weights, abs=1e-9)
 
