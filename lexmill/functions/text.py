@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The code points that str.strip() and str.split() treat as white space. The class is written so that
-# both Java's and RE2's regular expressions read it.
-SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The code points that str.strip() and str.split() treat as white space. In the class those below 256 stand
+# one by one, as Java looks such up in a table.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\x{09}\x{0a}\x{0b}\x{0c}\x{0d}\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: What ``words`` gives one item for.
 WORD = f"[^{SPACE[1:]}+"
 #: Characters below which a document is dropped.
@@ -18,18 +19,26 @@ LEAST_CHARS = 80
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    # a single space that no white space precedes stays as it is and is not looked at
+    return F.regexp_replace(strip(text), f"[{SPACE[1:-1].replace(chr(92) + 'x{20}', '')}]{SPACE}*| {SPACE}+", " ")
 
 
 def words(text: Column) -> Column:
     """The text split at white space; an empty array for an empty or null text."""
-    joined = collapse(text)
-    return F.when(F.coalesce(joined, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+    return F.filter(F.split(strip(F.coalesce(text, F.lit(""))), f"{SPACE}+"), lambda w: w != "")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once, where a filter on them would else repeat them below itself."""
+    for name, value in columns.items():
+        rest = [c for c in df.columns if c != name]
+        df = df.select(*rest, F.explode(F.array(value)).alias(name))
+    return df
 
 
 def non_blank(text: Column) -> Column:
@@ -55,25 +64,24 @@ def named_or_first(named: Column, fields: Sequence[Column]) -> Column:
 
 def all_joined(fields: Sequence[Column], others: Sequence[Column] = (), least_other: int = 200) -> Column:
     """Every non-blank field, a blank line between them; if there is none, the first other field longer than ``least_other``."""
-    found = F.filter(F.array(*map(non_blank, fields)), lambda x: x.isNotNull())
     other = F.coalesce(*[F.when(F.length(c) > least_other, c) for c in others], F.lit(""))
-    return F.when(F.size(found) > 0, F.array_join(found, "\n\n")).otherwise(other)
+    return F.coalesce(F.nullif(F.concat_ws("\n\n", *map(non_blank, fields)), F.lit("")), other)
 
 
 def normalized(text: Column, most: int | None = None) -> Column:
     """NUL as a space, white space collapsed; cut to ``most`` characters."""
-    out = collapse(F.translate(text, "\0", " "))
+    out = collapse(F.replace(text, F.lit("\0"), F.lit(" ")))
     return out if most is None else F.substring(out, 1, most)
 
 
 def corpus_line(text: Column) -> Column:
     """A line of a tokenizer's corpus: NUL as a space and a newline at the end."""
-    return F.concat(F.translate(text, "\0", " "), F.lit("\n"))
+    return F.concat(F.replace(text, F.lit("\0"), F.lit(" ")), F.lit("\n"))
 
 
 def one_line(text: Column) -> Column:
     """Newlines as spaces."""
-    return F.translate(text, "\n", " ")
+    return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
 def utf8_cut(text: Column, size: Column) -> Column:
@@ -86,17 +94,24 @@ def utf8_cut(text: Column, size: Column) -> Column:
     return F.when(F.octet_length(text) <= size, text).when(size <= 0, F.lit("")).otherwise(cut)
 
 
-def grams(text: Column, n: int = 13) -> Column:
-    """The distinct n-grams of runs of a-z and 0-9 in the lower-cased text, joined by spaces; none for fewer than n words."""
+def grams(text: Column, n: int = 13, hashed: bool = False) -> Column:
+    """The distinct n-grams of runs of a-z and 0-9 in the lower-cased text, joined by spaces; none for fewer than n words.
+
+    ``hashed``: as 64-bit hashes of the words instead (``gram_hash`` gives that of a joined n-gram).
+    """
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
     def made(w: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: i <= F.size(w) - n + 1)
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, n)) if hashed else F.array_join(F.slice(w, i, n), " ")))
 
     return F.element_at(F.transform(F.array(found), made), 1)  # the words are found once, not for each n-gram
 
 
+def gram_hash(gram: Column) -> Column:
+    return F.xxhash64(F.split(gram, " "))
+
+
 def duration(seconds: Column) -> Column:
     """Seconds as days, hours and minutes, from the greatest unit that is not 0; ``not available`` for null."""
     s = F.floor(F.greatest(seconds, F.lit(0.0))).cast("long")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chat
-from ..functions.text import grams, non_blank
+from ..functions.text import gram_hash, grams, non_blank
 
-#: Distinct n-grams up to which a blocked set is broadcast (about 100 bytes each).
+#: Distinct n-grams up to which a blocked set is broadcast (about 100 bytes each, 8 as hashes).
 BROADCAST_GRAMS = 500_000
 
 
@@ -49,10 +49,16 @@ def blocked(fields: list[tuple[DataFrame, str]], n: int = 13) -> DataFrame:
 
 
 def contaminated(df: DataFrame, key: list[str], text: Column, blocked_grams: DataFrame, n: int = 13) -> DataFrame:
-    """The distinct keys of rows that share an n-gram with the blocked set."""
+    """The distinct keys of rows that share an n-gram with the blocked set.
+
+    Hashes of 8 bytes are joined first; of the few rows that meet one, the n-grams themselves are then compared.
+    """
     count = blocked_grams.limit(BROADCAST_GRAMS + 1).count()
-    few = F.broadcast(blocked_grams) if count <= BROADCAST_GRAMS else blocked_grams
-    return df.select(*key, F.explode(grams(text, n)).alias("gram")).join(few, "gram", "left_semi").select(*key).distinct()
+    few = F.broadcast if count <= BROADCAST_GRAMS else (lambda side: side)
+    hashes = blocked_grams.select(gram_hash(F.col("gram")).alias("hash")).distinct()
+    near = df.select(*key, F.explode(grams(text, n, hashed=True)).alias("hash")).join(few(hashes), "hash", "left_semi").select(*key).distinct()
+    met = df.join(near, key, "left_semi").select(*key, F.explode(grams(text, n)).alias("gram"))
+    return met.join(few(blocked_grams), "gram", "left_semi").select(*key).distinct()
 
 
 def flagged(df: DataFrame, key: list[str], text: Column, blocked_grams: DataFrame, n: int = 13) -> DataFrame:

@@ -99,12 +99,17 @@ def plain_loss(batches: DataFrame) -> DataFrame:
 
 
 def counters(samples: DataFrame, order: str = "pos", ignored: int = -100) -> DataFrame:
-    """Running totals over samples (inputs, labels, pad): positions seen, next tokens supervised, positions not padding."""
+    """Running totals over samples (inputs, labels, pad): positions seen, next tokens supervised, positions not padding.
+
+    ``order`` is a unique number; the sums are taken in two steps over ranges of it.
+    """
+    from .quota import running
+
     labelled = F.size(F.filter(F.slice("labels", F.lit(2), F.greatest(F.size("labels") - 1, F.lit(0))), lambda x: x != ignored))
     real = F.size(F.filter("inputs", lambda x: x != F.col("pad")))
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda c: F.sum(c.cast("long")).over(w)
-    return samples.select(order, total(F.size("inputs")).alias("seen"), total(labelled).alias("supervised"), total(real).alias("not_padding"))
+    sizes = {"seen": F.size("inputs"), "supervised": labelled, "not_padding": real}
+    counted = samples.select(order, *[c.cast("long").alias(f"n_{k}") for k, c in sizes.items()])
+    return running(counted, {k: f"n_{k}" for k in sizes}, order).select(order, *sizes)
 
 
 def last_loss(events: DataFrame, order: str = "ord") -> DataFrame:

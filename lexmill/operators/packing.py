@@ -35,9 +35,13 @@ def windows(stream: DataFrame, length: int, ids: str = "ids", extra: int = 0) ->
     return whole.select("window", F.flatten(F.transform("pieces", lambda p: p["piece"])).alias("tokens")).where(F.size("tokens") == length + extra)
 
 
-def shifted(windows_of: DataFrame, length: int) -> DataFrame:
-    """Windows of ``length`` + 1 tokens as inputs and the next tokens as labels."""
-    return windows_of.select("window", F.slice("tokens", 1, length).alias("inputs"), F.slice("tokens", 2, length).alias("labels"))
+def shifted(windows_of: DataFrame, length: int, total: int) -> DataFrame:
+    """Windows of ``length`` + 1 tokens as inputs and the next tokens as labels.
+
+    Of a stream of ``total`` tokens there are total // length - 1: the last whole run only lends its first token as a
+    label, even where one more token follows it.
+    """
+    return windows_of.where(F.col("window") < total // length - 1).select("window", F.slice("tokens", 1, length).alias("inputs"), F.slice("tokens", 2, length).alias("labels"))
 
 
 def one_each(ids: Column, length: int, bos: Column, eos: Column, pad: Column) -> Column:
@@ -74,7 +78,8 @@ def sample_texts(conversation: Column, target: Column) -> Column:
     """What a sample is encoded from, message by message up to the target: structs (text, labelled).
 
     An assistant message gives its prefix and its answer apart; blank messages give nothing. The answer of the target
-    is labelled, and with a null target the answers of all assistant messages.
+    is labelled, and with a null target the answers of all assistant messages. A target that is no place of the
+    conversation, or not an assistant's message, is an error.
     """
     from ..functions.chat import capitalized
     from ..functions.text import strip
@@ -88,10 +93,23 @@ def sample_texts(conversation: Column, target: Column) -> Column:
         answer = F.array(part(F.lit("Assistant: "), F.lit(False)), part(F.concat(content, F.lit("\n")), target.isNull() | (i == target)))
         return F.when(content == "", F.slice(other, 1, 0)).when(m["role"] == "assistant", answer).otherwise(other)
 
-    taken = F.when(target.isNull(), conversation).otherwise(F.slice(conversation, 1, target + 1))
+    said = F.get(conversation, target)["role"]
+    wrong = target.isNotNull() & ((target < 0) | (target >= F.size(conversation)) | ~said.eqNullSafe(F.lit("assistant")))
+    known = F.when(wrong, F.raise_error(F.concat(F.lit("not a place of an assistant's message: "), target.cast("string")))).otherwise(conversation)
+    taken = F.when(target.isNull(), conversation).otherwise(F.slice(known, 1, target + 1))
     return F.flatten(F.transform(taken, parts))
 
 
+def answered(df: DataFrame, conversation: str = "conversation") -> DataFrame:
+    """``df``; raises if it has no conversation with an assistant's answer to learn from."""
+    from ..functions.text import non_blank
+
+    some = F.exists(conversation, lambda m: (m["role"] == "assistant") & non_blank(m["content"]).isNotNull())
+    if df.where(some).isEmpty():
+        raise ValueError("no conversation has an assistant's answer")
+    return df
+
+
 def sample(texts: Column, encoded: Column, bos: Column, eos: Column) -> Column:
     """Structs (token, labelled) of a whole sample. ``encoded``: an array of tokens for each of ``texts``."""
     one = lambda t, on: F.struct(t.alias("token"), on.alias("labelled"))

@@ -8,7 +8,7 @@ import os
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -113,6 +113,96 @@ def markdown(rows: list[dict], columns: dict[str, Callable[[object], str] | None
     return "\n".join("| " + " | ".join(x) + " |" for x in [list(columns), ["---"] * len(columns), *shown]) + "\n"
 
 
+def presence(spark: SparkSession, folder: str, tables: dict[str, str]) -> list[str]:
+    """Lines of a report: how many JSONL shards a folder has and its manifest, and how many rows each JSONL table, or what is missing.
+
+    Blank lines do not count; a broken line is an error.
+    """
+    from ..sources.files import jsonl_paths, lines, not_blank
+
+    shards = jsonl_paths(spark, folder)
+    report = [f"shards: {len(shards)}"] if shards else [f"missing: {folder}"]
+    recorded = Path(folder) / "manifest.json"
+    if shards and recorded.exists():
+        report.append(f"manifest: {json.dumps(json.loads(recorded.read_text(encoding='utf-8')), sort_keys=True)}")
+    for label, path in tables.items():
+        found = jsonl_paths(spark, path)
+        parsed = F.try_parse_json(F.col("value"))
+        strict = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.col("value")))).otherwise(1)
+        rows = lines(spark, found).where(not_blank(F.col("value"))).agg(F.coalesce(F.sum(strict), F.lit(0))).first()[0] if found else 0
+        report.append(f"{label}: {rows} rows ({path})" if found else f"missing {label}: {path}")
+    return report
+
+
+def load_config(path: str | Path, overrides: dict[str, object]) -> dict:
+    """A configuration file (JSON, or YAML where its library is there) with dotted overrides, such as ``training.seed``, that are not None."""
+    text = Path(path).read_text(encoding="utf-8")
+    if Path(path).suffix in {".yaml", ".yml"}:
+        try:
+            import yaml
+        except ImportError as error:
+            raise ValueError(f"{path} needs a YAML library; write it as JSON") from error
+        config = yaml.safe_load(text) or {}
+    else:
+        config = json.loads(text)
+    for name, value in overrides.items():
+        if value is None:
+            continue
+        *parents, last = name.split(".")
+        at = config
+        for p in parents:
+            at = at.setdefault(p, {})
+        at[last] = value
+    return config
+
+
+def chain_errors(stages: list[tuple[str, dict]], expected: list[tuple[str | None, str]], same: dict[str, object], target_tokens: int | None = None) -> list[str]:
+    """What is wrong with a chain of training configurations; ``stages`` has (name, configuration) in order.
+
+    All must have the first one's ``model`` and the values of ``same`` (dotted names). ``expected`` has, for each, the
+    checkpoint it starts from and the one it writes. With ``target_tokens`` the first one's schedule must be one pass,
+    rounded up to whole steps.
+    """
+
+    def value(config: dict, name: str) -> object:
+        for p in name.split("."):
+            config = config.get(p) if isinstance(config, dict) else None
+        return config
+
+    wrong = [f"{len(stages)} configurations for {len(expected)} stages"] if len(stages) != len(expected) else []
+    for (name, config), (start, output) in zip(stages, expected):
+        checks = {"model": stages[0][1].get("model"), **same, "init_checkpoint": start, "checkpoint_path": output}
+        wrong += [f"{name}: {k} is {value(config, k)!r}, not {want!r}" for k, want in checks.items() if value(config, k) != want]
+    if target_tokens is not None and stages:
+        first = stages[0][1]
+        step = value(first, "training.batch_size") * value(first, "training.gradient_accumulation_steps") * value(first, "model.context_length")
+        covered = step * value(first, "training.max_steps")
+        if not 0 <= covered - target_tokens < step:
+            wrong.append(f"{stages[0][0]}: the schedule covers {covered} tokens, not one pass over {target_tokens}")
+    return wrong
+
+
+def completed(folder: str | Path, names: Iterable[str], suffixes: tuple[str, ...] = (".json", ".md")) -> list[str]:
+    """The names of which all files are there; a task with one of them is done again."""
+    return [n for n in names if all((Path(folder) / f"{n}{s}").is_file() for s in suffixes)]
+
+
+def prepared(tasks: dict[str, Callable[[], DataFrame]], folder: str, strict: bool = False) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Tables by task and errors by task. A table already written under ``folder`` is read again; with ``strict`` an error ends all."""
+    tables, errors = {}, {}
+    for name, load in tasks.items():
+        try:
+            df = load()
+            path = f"{folder.rstrip('/')}/{name}"
+            write_shards(df, path, 100_000)
+            tables[name] = df.sparkSession.read.schema(df.schema).json(path)
+        except Exception as error:
+            if strict:
+                raise
+            errors[name] = f"{type(error).__name__}: {error}"
+    return tables, errors
+
+
 def parameters(vocabulary: int, context: int, embed: int, model: int, local: int, feature: int, blocks: int, tied: bool = True) -> int:
     """The parameters of a mixer model: embeddings, a shared local encoder, blocks of token and feature mixing, the head."""
 

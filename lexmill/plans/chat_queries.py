@@ -96,31 +96,56 @@ def instruction_source(spark, sf_dir):
     return chats.instruction_source(rows, "Context").select("ord", shown("conversation"))
 
 
-CHOICES = [(0, "Which?", ["one ", "two"], ["A", "B"], "B", "Read."), (1, "What?", ["x", "y", "z"], ["1", "2", "3"], "3", "This.")]
+CHOICES = [(0, " Which? ", ["one ", "two"], ["A", "B"], " b"), (1, "What?", ["x", "y", "z"], ["1", "2", "3"], "3")]
+AS_PAIR = SHOWN.format(c="[struct_pack(role := 'user', content := u), struct_pack(role := 'assistant', content := a)]")
 
 
-@query(f"""WITH c AS {S.values(CHOICES, 'ord, question, choices, labels, answer, passage')},
-e AS (SELECT ord, passage || chr(10) || chr(10) || question || chr(10) || array_to_string(list_transform(choices, lambda x, i: chr(64 + i::INT) || '. ' || trim(x)), chr(10)) AS u,
-  chr(64 + list_position(labels, answer)::INT) || '. ' || trim(choices[list_position(labels, answer)]) AS a FROM c)
-SELECT ord, {SHOWN.format(c="[struct_pack(role := 'user', content := u), struct_pack(role := 'assistant', content := a)]")} AS conversation FROM e""")
+@query(f"""WITH c AS {S.values(CHOICES, 'ord, question, choices, labels, answer')}, p AS (SELECT *, list_position(list_transform(labels, lambda x: upper(trim(x))), upper(trim(answer))) AS i FROM c),
+e AS (SELECT ord, {S.strip("'Choose the correct answer and explain briefly.' || chr(10) || 'Question: ' || question || chr(10) || array_to_string(list_transform(list_zip(labels, choices), lambda x: x[1] || '. ' || x[2]), chr(10))")} AS u,
+  {S.strip("'The correct answer is ' || labels[i] || ': ' || choices[i] || '.'")} AS a FROM p)
+SELECT ord, {AS_PAIR} AS conversation FROM e""")
 def choice_source(spark, sf_dir):
-    """Lettered choices and an answer in words."""
-    rows = spark.createDataFrame(CHOICES, "ord int, question string, choices array<string>, labels array<string>, answer string, passage string")
-    return chats.choice_source(rows, passage="passage").select("ord", shown("conversation"))
+    """Choices under the source's labels and an answer in words."""
+    rows = spark.createDataFrame(CHOICES, "ord int, question string, choices array<string>, labels array<string>, answer string")
+    return chats.choice_source(rows).select("ord", shown("conversation"))
 
 
-@query("""WITH s AS (SELECT 'What is ' || a || ' + ' || b || '?' AS "user", (a + b)::VARCHAR AS assistant FROM range(31) x(a), range(31) y(b)
-UNION ALL SELECT 'What is ' || a || ' - ' || b || '?', (a - b)::VARCHAR FROM range(31) x(a), range(31) y(b) WHERE a >= b)
+@query(f"""WITH e AS (SELECT item_id AS ord, {S.strip("'Read the passage and answer Yes or No.' || chr(10) || 'Passage: ' || text || chr(10) || 'Question: is it item ' || item_id || '?'")} AS u,
+  CASE WHEN item_id % 2 = 0 THEN 'Yes.' ELSE 'No.' END AS a FROM benchmark) SELECT ord, {AS_PAIR} AS conversation FROM e""")
+def reading_source(spark, sf_dir):
+    """A passage and a question answered by Yes or No; each text of the benchmark as a passage."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = b.select(F.col("item_id").alias("ord"), F.col("text").alias("passage"), F.concat(F.lit("is it item "), F.col("item_id").cast("string")).alias("question"), (F.col("item_id") % 2 == 0).alias("answer"))
+    return chats.reading_source(rows).select("ord", shown("conversation"))
+
+
+@query(f"""WITH t AS (SELECT conv_id AS ord, {S.strip("max(CASE WHEN turn = 0 THEN text END)")} AS u, {S.strip("max(CASE WHEN turn = 1 THEN text END)")} AS a FROM conversations GROUP BY 1)
+SELECT ord, {AS_PAIR} AS conversation FROM t WHERE u IS NOT NULL AND a IS NOT NULL""")
+def problem_source(spark, sf_dir):
+    """Problems and solutions as pairs; the first two turns of each conversation stand for them."""
+    turn = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").alias("ord")).agg(turn(0).alias("problem"), turn(1).alias("solution"))
+    return chats.problem_source(rows.where("problem is not null and solution is not null")).select("ord", shown("conversation"))
+
+
+REPAIR = [(g, chats.GREETED) for g in chats.GREETINGS] + chats.OTHERS
+
+
+@query(f"""WITH s AS (SELECT 'what is ' || a || '+' || b AS "user", a || '+' || b || ' is ' || (a + b) || '.' AS assistant FROM range(31) x(a), range(31) y(b)
+UNION ALL SELECT 'what is ' || a || '-' || b, a || '-' || b || ' is ' || (a - b) || '.' FROM range(31) x(a), range(31) y(b) WHERE a >= b
+UNION ALL SELECT * FROM {S.values(REPAIR, 'u, a')}
+UNION ALL SELECT 'what is the capital of ' || k || '?', 'The capital of ' || country || ' is ' || capital || '.' FROM {S.values([(k, *v) for k, v in chats.CAPITALS.items()], 'k, country, capital')}
+UNION ALL SELECT replace(p, '@', k), v FROM {S.values(list(chats.CONCEPTS.items()), 'k, v')}, (VALUES ('what is a @'), ('What is a @?'), ('Explain what a @ is.')) AS w(p))
 SELECT "user", assistant, r::INT AS repeat FROM s, range(2) t(r)""")
-def arithmetic_table(spark, sf_dir):
-    """Sums and differences, repeated."""
-    return chats.repeated(chats.arithmetic(spark), 2)
+def repair_table(spark, sf_dir):
+    """Fixed pairs, sums and differences, capitals and concepts, repeated."""
+    return chats.repair(spark, 2)
 
 
 @query(None)
 def logic_table(spark, sf_dir):
-    """Generated questions with operands from a hash."""
-    return chats.logic(spark, 20)
+    """Generated questions with operands from a hash, and fixed pairs."""
+    return chats.logic(spark, 40)
 
 
 # ---- targets ----
@@ -184,10 +209,10 @@ def flagged(spark, sf_dir) -> DataFrame:
     return dedup.flagged(t, ["source", "ord", "target_index"], dedup.user_text(F.col("prefix")), blocked(spark, sf_dir))
 
 
-@query(f"WITH {BLOCKED} SELECT count(*) AS n_grams, min(gram) AS first, max(gram) AS last FROM blocked")
+@query(f"WITH {BLOCKED} SELECT gram FROM blocked")
 def blocked_grams(spark, sf_dir):
     """The distinct n-grams of the blocked texts."""
-    return blocked(spark, sf_dir).agg(F.count("*").alias("n_grams"), F.min("gram").alias("first"), F.max("gram").alias("last"))
+    return blocked(spark, sf_dir)
 
 
 @query(f"""WITH b AS (SELECT DISTINCT unnest({S.grams('text')}) AS gram FROM benchmark), g AS (SELECT doc_id, unnest({S.grams('text')}) AS gram FROM documents)
@@ -226,9 +251,8 @@ SELECT source, id, t <= quota AS validation FROM z""")
 def validation_split(spark, sf_dir):
     """A validation set of 20, allocated by largest remainder and drawn by hash."""
     rows = unique_targets(spark, sf_dir)
-    counts = [(r["source"], r["count"]) for r in rows.groupBy("source").count().orderBy("source").collect()]
-    quotas = split.allocation([n for _, n in counts], 20)
-    return split.with_split(rows, [(s, q) for (s, _), q in zip(counts, quotas)]).select("source", "id", "validation")
+    counts = rows.groupBy("source").agg(F.count("*").alias("n")).withColumn("place", F.col("source"))
+    return split.with_split(rows, split.allocation(counts, 20)).select("source", "id", "validation")
 
 
 # ---- rendering ----

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokenize
 from ..operators import packing, quota, split
+from ..sources import files
+from ..sources.shared import shared_path
 from . import sql as S
 
 QUERIES: dict = {}
@@ -50,21 +52,21 @@ def _first(test: str) -> str:
 @query(f"WITH {FIELDS}, e AS (SELECT doc_id, {_first('length({s}) >= 80')} AS text FROM f) SELECT doc_id, text FROM e WHERE length(text) >= 80")
 def extract_first_long(spark, sf_dir):
     """The first field that is long enough."""
-    out = fields(documents(spark, sf_dir)).select("doc_id", T.first_long(_columns()).alias("text"))
+    out = T.once(fields(documents(spark, sf_dir)).select("doc_id", *NAMES), text=T.first_long(_columns())).select("doc_id", "text")
     return out.where(F.length("text") >= T.LEAST_CHARS)
 
 
 @query(f"WITH {FIELDS}, e AS (SELECT doc_id, {_first(chr(123) + 's' + chr(125) + " <> ''")} AS text FROM f) SELECT doc_id, text FROM e WHERE length(text) >= 80")
 def extract_first_non_blank(spark, sf_dir):
     """A short field hides a long one."""
-    out = fields(documents(spark, sf_dir)).select("doc_id", T.first_non_blank(_columns()).alias("text"))
+    out = T.once(fields(documents(spark, sf_dir)), text=T.first_non_blank(_columns())).select("doc_id", "text")
     return out.where(F.length("text") >= T.LEAST_CHARS)
 
 
 @query(f"WITH {FIELDS}, e AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {S.strip('text')} ELSE {_first(chr(123) + 's' + chr(125) + " <> ''")} END AS text FROM f) SELECT doc_id, text FROM e WHERE length(text) >= 80")
 def extract_named(spark, sf_dir):
     """The named field wins even when it is empty."""
-    out = fields(documents(spark, sf_dir)).select("doc_id", T.named_or_first(F.col("text"), _columns(NAMES[1:])).alias("text"))
+    out = T.once(fields(documents(spark, sf_dir)), text=T.named_or_first(F.col("text"), _columns(NAMES[1:]))).select("doc_id", "text")
     return out.where(F.length("text") >= T.LEAST_CHARS)
 
 
@@ -72,71 +74,71 @@ def extract_named(spark, sf_dir):
 n AS (SELECT doc_id, left({S.collapse("translate(t, chr(0), ' ')")}, 12000) AS text FROM e) SELECT doc_id, text FROM n WHERE length(text) >= 120""")
 def extract_all_joined(spark, sf_dir):
     """All fields joined, normalized, cut to 12,000 characters."""
-    out = fields(documents(spark, sf_dir)).select("doc_id", T.normalized(T.all_joined(_columns()), 12_000).alias("text"))
+    out = T.once(fields(documents(spark, sf_dir)), text=T.normalized(T.all_joined(_columns()), 12_000)).select("doc_id", "text")
     return out.where(F.length("text") >= 120)
 
 
-@query("SELECT doc_id, sha256(text || chr(10)) AS line, sha256(replace(text, chr(10), ' ')) AS flat FROM documents WHERE doc_id < 1000000000")
+@query("SELECT doc_id, sha256(text || chr(10)) AS line, sha256(replace(text, chr(10), ' ')) AS flat FROM documents")
 def corpus_lines(spark, sf_dir):
     """Lines of tokenizer corpora (the fixtures hold no NUL)."""
     d = documents(spark, sf_dir, "doc_id", "text")
     return d.select("doc_id", F.sha2(T.corpus_line(F.col("text")), 256).alias("line"), F.sha2(T.one_line(F.col("text")), 256).alias("flat"))
 
 
-# ---- quotas: white-space tokens, two of them for the markers ----
-WEIGHTS = [("src0", 0.4), ("src1", 0.3), ("src2", 0.2), ("src3", 0.1)]
-TOTAL = 20_001
-QUOTAS = quota.quotas(WEIGHTS, TOTAL)
-
-
+# ---- quotas: white-space tokens, two of them for the markers; half of each source's tokens, what is over to the last ----
 def counted(spark, sf_dir) -> DataFrame:
     """Documents of at least 80 characters with their white-space tokens between two markers."""
-    d = documents(spark, sf_dir).select("doc_id", "source", T.strip(F.col("text")).alias("text")).where(F.length("text") >= T.LEAST_CHARS)
+    d = T.once(documents(spark, sf_dir), text=T.strip(F.col("text"))).where(F.length("text") >= T.LEAST_CHARS)
     ids = F.concat(F.array(F.lit("<s>")), T.words(F.col("text")), F.array(F.lit("</s>")))
-    return d.select("doc_id", "source", ids.alias("ids")).withColumn("n", F.size("ids").cast("long"))
+    return T.once(d, ids=ids).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n"))
 
 
-def quota_rows(spark, sf_dir, rows=QUOTAS) -> tuple[DataFrame, DataFrame]:
-    table = quota.quota_table(spark, rows)
-    return quota.running(quota.with_quota(counted(spark, sf_dir), table), "n", "doc_id", "source"), table
+def quota_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = counted(spark, sf_dir)
+    table = quota.share_table(rows)
+    return quota.running(quota.with_quota(rows, table), "n", "doc_id", "source"), table
 
 
+SHARES = """q AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS place,
+  (s // 2 + CASE WHEN row_number() OVER (ORDER BY source {order}) = 1 THEN sum(s) OVER () // 2 - sum(s // 2) OVER () ELSE 0 END)::BIGINT AS quota FROM t)"""
 COUNTED = f"""d AS (SELECT doc_id, source, {S.strip('text')} AS text FROM documents),
 c AS (SELECT doc_id, source, ['<s>'] || {S.words('text')} || ['</s>'] AS ids FROM d WHERE length(text) >= 80),
-q AS {S.values(QUOTAS, 'source, place, quota')},
+t AS (SELECT source, sum(len(ids))::BIGINT AS s FROM c WHERE source IS NOT NULL GROUP BY 1), {SHARES.format(order='DESC')},
 r AS (SELECT c.*, place, quota, len(ids)::BIGINT AS n, sum(len(ids)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS through FROM c JOIN q USING (source)),
 cut AS (SELECT *, least(n, quota - (through - n)) AS taken FROM r WHERE through - n < quota)"""
 
 
-@query(f"""WITH {COUNTED} SELECT source, place, quota::BIGINT AS quota, count(*) AS n_docs, sum(taken)::BIGINT AS tokens, max(doc_id) AS last_doc,
+@query(f"""WITH {COUNTED} SELECT source, place::INT AS place, quota, count(*) AS n_docs, sum(taken)::BIGINT AS tokens, max(doc_id) AS last_doc,
   arg_max(taken, doc_id)::BIGINT AS last_taken, arg_max(array_to_string(ids[1:taken::INT], ' '), doc_id) AS last_text FROM cut GROUP BY ALL""")
 def quota_mix(spark, sf_dir):
-    """Documents cut to exact token quotas by source."""
+    """Documents cut to exact token quotas by source; a source that cannot fill its quota is an error."""
     rows, _ = quota_rows(spark, sf_dir)
-    cut = quota.exact_cut(rows, items="ids")
-    return cut.groupBy("source", "place", "quota").agg(
-        F.count("*").alias("n_docs"), F.sum("taken").alias("tokens"), F.max("doc_id").alias("last_doc"),
-        F.max_by("taken", "doc_id").alias("last_taken"), F.max_by(F.array_join("ids", " "), "doc_id").alias("last_text"),
-    )
-
-
-FIRST = quota.quotas(WEIGHTS, TOTAL, "first")
+    last = F.max_by(F.struct("taken", "ids"), "doc_id")
+    cut = quota.exact_cut(rows, items="ids").groupBy("source", "place", "quota")
+    made = cut.agg(F.count("*").alias("n_docs"), F.sum("taken").alias("tokens"), F.max("doc_id").alias("last_doc"), last.alias("last"))
+    full = F.when(F.col("tokens") == F.col("quota"), F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("exhausted before its quota: "), "source")))
+    return made.select("source", "place", "quota", "n_docs", full.alias("tokens"), "last_doc", F.col("last.taken").alias("last_taken"), F.array_join("last.ids", " ").alias("last_text"))
 
 
-@query(f"""WITH {COUNTED.replace(S.values(QUOTAS, 'source, place, quota'), S.values(FIRST, 'source, place, quota'))}
-SELECT source, quota::BIGINT AS quota, count(*) AS n_docs, sum(n)::BIGINT AS tokens FROM r WHERE n - 2 >= 32 AND (through - n < quota OR through = n) GROUP BY ALL""")
+@query(f"""WITH c AS (SELECT doc_id, source, len({S.words('text')})::BIGINT AS n FROM documents WHERE length({S.strip('text')}) >= 80),
+k AS (SELECT * FROM c WHERE n >= 32), t AS (SELECT source, sum(n)::BIGINT AS s FROM k WHERE source IS NOT NULL GROUP BY 1), {SHARES.format(order='ASC')},
+r AS (SELECT k.*, quota, sum(n) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS through FROM k JOIN q USING (source))
+SELECT source, quota, count(*) AS n_docs, sum(n)::BIGINT AS tokens FROM r WHERE through - n < quota OR through = n GROUP BY ALL""")
 def quota_overshoot(spark, sf_dir):
-    """Whole documents until the quota is reached."""
-    rows, _ = quota_rows(spark, sf_dir, FIRST)
-    return quota.overshoot_cut(rows).where("n - 2 >= 32").groupBy("source", "quota").agg(F.count("*").alias("n_docs"), F.sum("taken").alias("tokens"))
+    """Whole documents of at least 32 tokens (without markers) until the quota is reached; shorter ones do not count."""
+    d = documents(spark, sf_dir).where(F.length(T.strip(F.col("text"))) >= T.LEAST_CHARS)
+    rows = T.once(d, n=F.size(T.words(F.col("text"))).cast("long")).select("doc_id", "source", "n").where("n >= 32")
+    table = quota.share_table(rows, rest_to="first")
+    cut = quota.overshoot_cut(quota.running(quota.with_quota(rows, table), "n", "doc_id", "source"))
+    return cut.groupBy("source", "quota").agg(F.count("*").alias("n_docs"), F.sum("taken").alias("tokens"))
 
 
-@query(f"""WITH {COUNTED}, s AS (SELECT source, quota, sum(n) AS available FROM r GROUP BY ALL)
-SELECT source, quota::BIGINT AS quota, available::BIGINT AS available FROM s WHERE available < quota""")
+@query(f"""WITH {COUNTED} SELECT source, (s + place % 3)::BIGINT AS quota, s AS available FROM q JOIN t USING (source) WHERE place % 3 > 0""")
 def quota_short_sources(spark, sf_dir):
-    """Sources too small for their quota."""
-    table = quota.quota_table(spark, QUOTAS)
-    return quota.short_sources(counted(spark, sf_dir), table)
+    """Sources too small for their quota; two of three have one or two tokens less than is asked of them."""
+    rows = counted(spark, sf_dir).drop("ids")
+    table = quota.share_table(rows, part=1).withColumn("quota", F.col("quota") + F.col("place") % 3)
+    return quota.short_sources(rows, table)
 
 
 STARTS = "st AS (SELECT source, coalesce(sum(quota) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS source_start FROM q)"
@@ -146,7 +148,7 @@ STARTS = "st AS (SELECT source, coalesce(sum(quota) OVER (ORDER BY place ROWS BE
 def stream_offsets(spark, sf_dir):
     """Each document's place in the stream of all sources."""
     rows, table = quota_rows(spark, sf_dir)
-    return quota.offsets(quota.exact_cut(rows), table).select("doc_id", "source", "start", "taken")
+    return quota.offsets(quota.exact_cut(rows.drop("ids")), table).select("doc_id", "source", "start", "taken")
 
 
 @query(f"""WITH {COUNTED} SELECT doc_id, source, greatest(500 - (through - n), 0)::BIGINT AS first, (taken - greatest(500 - (through - n), 0))::BIGINT AS taken,
@@ -157,29 +159,26 @@ def resume_skip(spark, sf_dir):
     return quota.exact_cut(rows, items="ids", skip=500).select("doc_id", "source", "first", "taken", F.array_join("ids", " ").alias("text"))
 
 
-BYTE_ROWS = quota.quotas(WEIGHTS, 90_001)
-
-
-@query(f"""WITH d AS (SELECT doc_id, source, text || chr(10) AS text, strlen(text) + 1 AS n FROM documents), q AS {S.values(BYTE_ROWS, 'source, place, quota')},
+@query(f"""WITH d AS (SELECT doc_id, source, text || chr(10) AS text, strlen(text) + 1 AS n FROM documents), t AS (SELECT source, sum(n)::BIGINT AS s FROM d WHERE source IS NOT NULL GROUP BY 1), {SHARES.format(order='DESC')},
 r AS (SELECT d.*, quota, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS through FROM d JOIN q USING (source)),
 k AS (SELECT *, quota - (through - n) AS room FROM r WHERE through - n < quota),
 b AS (SELECT *, CASE WHEN n <= room THEN text ELSE list_reduce(list_filter(list_transform(range(greatest(room - 3, 0)::BIGINT // 4, room::BIGINT + 1), lambda i: left(text, i::INT)), lambda p: strlen(p) <= room), lambda a, p: CASE WHEN strlen(p) > strlen(a) THEN p ELSE a END) END AS cut FROM k)
-SELECT source, quota::BIGINT AS quota, count(*) AS n_docs, sum(strlen(cut))::BIGINT AS n_bytes, sha256(string_agg(cut, '' ORDER BY doc_id)) AS sha FROM b GROUP BY ALL""")
+SELECT doc_id, source, quota, strlen(cut)::BIGINT AS n_bytes, sha256(cut) AS sha FROM b""")
 def byte_quota(spark, sf_dir):
-    """A tokenizer corpus cut to UTF-8 byte quotas at whole characters."""
+    """A tokenizer corpus cut to UTF-8 byte quotas at whole characters, line by line."""
     lines = documents(spark, sf_dir).select("doc_id", "source", T.corpus_line(F.col("text")).alias("text")).withColumn("n", F.octet_length("text").cast("long"))
-    rows = quota.running(quota.with_quota(lines, quota.quota_table(spark, BYTE_ROWS)), "n", "doc_id", "source")
-    cut = quota.byte_cut(rows)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: r["text"]), "")
-    return cut.groupBy("source", "quota").agg(F.count("*").alias("n_docs"), F.sum("taken").alias("n_bytes"), F.sha2(whole, 256).alias("sha"))
+    table = quota.share_table(lines)
+    cut = quota.byte_cut(quota.running(quota.with_quota(lines, table), "n", "doc_id", "source"))
+    return cut.select("doc_id", "source", "quota", F.col("taken").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, len({S.words('text')})::BIGINT AS n FROM documents), r AS (SELECT *, sum(n) OVER (ORDER BY doc_id) AS through FROM d)
-SELECT doc_id, least(n, 50000 - (through - n))::BIGINT AS taken FROM r WHERE through - n < 50000 AND n > 0""")
+@query(f"""WITH d AS (SELECT doc_id, len({S.words('text')})::BIGINT AS n FROM documents), r AS (SELECT *, sum(n) OVER (ORDER BY doc_id) AS through, sum(n) OVER () // 2 AS half FROM d)
+SELECT doc_id, least(n, half - (through - n))::BIGINT AS taken FROM r WHERE through - n < half AND n > 0""")
 def single_pool(spark, sf_dir):
-    """One pool cut to a total, whatever the sources."""
-    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n"))
-    return quota.exact_cut(quota.running(d, "n", "doc_id").withColumn("quota", F.lit(50_000))).select("doc_id", "taken")
+    """One pool cut to half of all tokens, whatever the sources."""
+    d = T.once(documents(spark, sf_dir, "doc_id", "text"), n=F.size(T.words(F.col("text"))).cast("long")).select("doc_id", "n")
+    half = d.agg(F.floor(F.sum("n") / 2)).first()[0] or 0
+    return quota.exact_cut(quota.running(d, "n", "doc_id").withColumn("quota", F.lit(half))).select("doc_id", "taken")
 
 
 @query("SELECT source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars, count(*) FILTER (text <> '') AS n_not_empty FROM documents GROUP BY ROLLUP (source)")
@@ -190,26 +189,40 @@ def source_totals(spark, sf_dir):
 
 
 # ---- windows ----
-def stream(spark, sf_dir) -> DataFrame:
+def stream(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The stream's pieces, and how many tokens it has."""
     rows, table = quota_rows(spark, sf_dir)
-    return quota.offsets(quota.exact_cut(rows, items="ids"), table).select("start", "ids")
+    return quota.offsets(quota.exact_cut(rows, items="ids"), table).select("start", "ids"), table.agg(F.sum("quota")).first()[0] or 0
 
 
 FLAT = f"{COUNTED}, {STARTS}, s AS (SELECT (source_start + through - n)::BIGINT AS start, ids[1:taken::INT] AS ids FROM cut JOIN st USING (source)), tok AS (SELECT start + i - 1 AS p, ids[i] AS t FROM s, unnest(range(1, len(ids) + 1)) AS u(i))"
 
 
+@query(f"""WITH {FLAT} SELECT (p // 100000)::INT AS part, count(*) AS n_tokens, min(p)::BIGINT AS first, sum(length(t))::BIGINT AS total, sum(length(t) * (p % 1009))::BIGINT AS placed FROM tok GROUP BY 1""")
+def token_binary_parts(spark, sf_dir):
+    """The stream written as 16-bit parts of 100,000 tokens and read back; a token's id is its length."""
+    tokens, total = stream(spark, sf_dir)
+    lengths = tokens.select("start", F.transform("ids", lambda t: F.length(t)).alias("ids"))
+    folder = shared_path(spark, "tokens")
+    files.write_token_binary(lengths, folder, total, [{"source": "documents"}], "lengths", items=100_000)
+    read = files.token_binary(spark, folder).select(F.regexp_extract("name", r"(\d+)\.bin", 1).cast("int").alias("part"), "start", F.posexplode("ids").alias("i", "id"))
+    place = F.col("part").cast("long") * 100_000 + F.col("start") + F.col("i")
+    return read.groupBy("part").agg(F.count("*").alias("n_tokens"), F.min(place).alias("first"), F.sum("id").alias("total"), F.sum(F.col("id") * (place % 1009)).alias("placed"))
+
+
 @query(f"WITH {FLAT} SELECT p // 256 AS \"window\", array_to_string(list(t ORDER BY p), ' ') AS tokens FROM tok GROUP BY 1 HAVING count(*) = 256")
 def windows(spark, sf_dir):
     """Windows of 256 tokens; the short tail goes."""
-    return packing.windows(stream(spark, sf_dir), 256).select("window", F.array_join("tokens", " ").alias("tokens"))
+    return packing.windows(stream(spark, sf_dir)[0], 256).select("window", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(f"""WITH {FLAT}, w AS (SELECT k AS "window", t, p FROM tok, unnest([p // 256, p // 256 - 1]) AS u(k) WHERE k >= 0 AND p - k * 256 <= 256),
 g AS (SELECT "window", list(t ORDER BY p) AS l FROM w GROUP BY 1 HAVING count(*) = 257)
-SELECT "window", array_to_string(l[1:256], ' ') AS inputs, array_to_string(l[2:257], ' ') AS labels FROM g""")
+SELECT "window", array_to_string(l[1:256], ' ') AS inputs, array_to_string(l[2:257], ' ') AS labels FROM g WHERE "window" < (SELECT count(*) FROM tok) // 256 - 1""")
 def windows_shifted(spark, sf_dir):
-    """Inputs and next-token labels."""
-    made = packing.shifted(packing.windows(stream(spark, sf_dir), 256, extra=1), 256)
+    """Inputs and next-token labels; of N tokens N // 256 - 1 windows."""
+    tokens, total = stream(spark, sf_dir)
+    made = packing.shifted(packing.windows(tokens, 256, extra=1), 256, total)
     return made.select("window", F.array_join("inputs", " ").alias("inputs"), F.array_join("labels", " ").alias("labels"))
 
 
@@ -226,7 +239,7 @@ def one_window_each(spark, sf_dir):
 SELECT doc_id, k AS seg, array_to_string(w[k * 127 + 1 : k * 127 + 127], ' ') AS tokens FROM w, unnest(range((len(w) + 126) // 127)) AS u(k)""")
 def segments(spark, sf_dir):
     """Runs of 127 tokens, the short last one too."""
-    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", T.words(F.col("text")).alias("ids"))
+    d = T.once(documents(spark, sf_dir, "doc_id", "text"), ids=T.words(F.col("text"))).select("doc_id", "ids")
     return packing.segments(d, 128).select("doc_id", F.col("seg").cast("long").alias("seg"), F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -240,7 +253,6 @@ def full_batches(spark, sf_dir):
 # ---- samples, holdouts, permutations ----
 SIZE, HELD = 12_345, 123
 A, B = split.permutation(SIZE, 7, 1)
-CHOSEN = split.subset(1000, 50, 2026, "piqa")
 
 
 @query(f"SELECT ((2 * i + 1) * {SIZE}) // (2 * {HELD}) AS \"window\" FROM range({HELD}) t(i)")
@@ -262,15 +274,8 @@ def permutation_from(spark, sf_dir):
     return split.permuted(spark, SIZE, A, B, 100)
 
 
-@query(f"SELECT doc_id, source FROM documents WHERE doc_id IN ({', '.join(map(str, CHOSEN))})")
-def seeded_subset(spark, sf_dir):
-    """A seeded sample of indices, another for each task; of ids below 1,000 only, as its SQL has it."""
-    chosen = spark.createDataFrame([(i,) for i in CHOSEN], "doc_id long")
-    return documents(spark, sf_dir, "doc_id", "source").join(F.broadcast(chosen), "doc_id", "left_semi")
-
-
 @query(None)
-def seeded_subset_whole(spark, sf_dir):
+def seeded_subset(spark, sf_dir):
     """The sample is drawn over the table's counted rows and taken by their places in order of doc_id."""
     d = documents(spark, sf_dir, "doc_id", "source")
     chosen = spark.createDataFrame([(i + 1,) for i in split.subset(d.count(), 50, 2026, "piqa")], "through long")
@@ -278,10 +283,10 @@ def seeded_subset_whole(spark, sf_dir):
     return placed.join(F.broadcast(chosen), "through", "left_semi").select("doc_id", "source")
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id < 100")
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")
 def first_rows(spark, sf_dir):
-    """T4: the first rows in arrival order; the filter reaches the scan."""
-    return documents(spark, sf_dir, "doc_id", "source").where("doc_id < 100")
+    """T4: the first 100 rows in arrival order."""
+    return documents(spark, sf_dir, "doc_id", "source").orderBy("doc_id").limit(100)
 
 
 @query("SELECT doc_id, source FROM documents")
@@ -290,25 +295,14 @@ def shuffled_documents(spark, sf_dir):
     return split.shuffled(documents(spark, sf_dir, "doc_id", "source"), "doc_id", 5)
 
 
-@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank_in_source, count(*) OVER () AS slots, TRUE AS in_order FROM documents")
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank_in_source, count(*) OVER () AS slots FROM documents")
 def riffle_merge(spark, sf_dir):
     """A random interleaving in which each source keeps its order; slots are 0 to n - 1."""
-    from pyspark.sql import Window
-
     d = documents(spark, sf_dir, "doc_id", "source").withColumn("ord", F.col("doc_id"))
-    slots = split.riffled(d, 3)
-    own = Window.partitionBy("source").orderBy("slot")
-    checked = slots.select("source", "doc_id", F.row_number().over(own).cast("long").alias("rank_in_source"), F.coalesce(F.lag("doc_id").over(own) < F.col("doc_id"), F.lit(True)).alias("in_order"), "slot")
-    n = slots.agg((F.max("slot") + 1).alias("slots"), F.count_distinct("slot").alias("k")).where("slots = k").select("slots")
-    return checked.drop("slot").join(F.broadcast(n))
-
-
-@query(f"""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('top:' || doc_id::VARCHAR)) AS r, 1.0 / (1 + doc_id % 7) AS w FROM documents WHERE doc_id < 50),
-s AS (SELECT doc_id, w / sum(w) OVER () AS p FROM p), c AS (SELECT doc_id, p, sum(p) OVER (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING) - p AS before FROM s)
-SELECT doc_id, p FROM c WHERE before <= 0.9""")
-def nucleus(spark, sf_dir):
-    """The likeliest items up to a mass of 0.9, with the one that passes it; of documents only those of doc_id < 50, as its SQL has it."""
-    return split.nucleus(weighted(spark, sf_dir).where("doc_id < 50"), "w", "doc_id", 0.9)
+    slots = split.riffled(d, 3).select("source", "doc_id", "slot", F.lit(1).cast("long").alias("one"))
+    ranked = quota.running(slots, "one", "slot", "source")  # a source's rank by slot is its rank by doc_id if its order is kept
+    n = slots.agg((F.max("slot") + 1).alias("slots"), F.count_distinct("slot").alias("k")).first()
+    return ranked.select("source", "doc_id", F.col("through").alias("rank_in_source"), F.lit(n["slots"] if n["slots"] == n["k"] else -1).cast("long").alias("slots"))
 
 
 def weighted(spark, sf_dir) -> DataFrame:
@@ -316,8 +310,8 @@ def weighted(spark, sf_dir) -> DataFrame:
 
 
 @query(None)
-def nucleus_whole(spark, sf_dir):
-    """T13 over every document."""
+def nucleus(spark, sf_dir):
+    """Of all documents, the likeliest up to a mass of 0.9, with the one that passes it (a sum of doubles, so without SQL)."""
     return split.nucleus(weighted(spark, sf_dir), "w", "doc_id", 0.9)
 
 

@@ -156,30 +156,20 @@ def candidate_encoding(spark, sf_dir):
 MODELS = [("uniform4", 4), ("uniform64", 64), ("uniform2", 2)]
 
 
-def corpora(spark, sf_dir) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("benchmark").alias("dataset"), F.col("item_id").alias("ord"), "text")
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 20").select(F.lit("documents").alias("dataset"), F.col("doc_id").alias("ord"), "text")
-    return perplexity.corpus(b.unionByName(d), "ord")
-
-
-CORPORA = """src AS (SELECT 'benchmark' AS dataset, item_id AS ord, text FROM benchmark UNION ALL SELECT 'documents', doc_id, text FROM documents WHERE doc_id < 20),
-co AS (SELECT dataset, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY ord) AS corpus, count(*) AS n_rows FROM src GROUP BY 1)"""
-
-
-@query(f"WITH {CORPORA} SELECT dataset, n_rows, strlen(corpus)::BIGINT AS bytes, sha256(corpus) AS sha256 FROM co")
-def evaluation_corpora(spark, sf_dir):
-    """Corpora of joined texts with bytes and digest; of documents only those of doc_id < 20, as its SQL has it."""
-    return corpora(spark, sf_dir).select("dataset", "n_rows", "bytes", "sha256")
-
-
 def all_texts(spark, sf_dir) -> DataFrame:
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("benchmark").alias("dataset"), F.col("item_id").alias("ord"), "text")
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("documents").alias("dataset"), F.col("doc_id").alias("ord"), "text")
     return b.unionByName(d)
 
 
-@query(None)
-def evaluation_corpora_whole(spark, sf_dir):
+TEXTS = "src AS (SELECT 'benchmark' AS dataset, item_id AS ord, coalesce(text, '') AS text FROM benchmark UNION ALL SELECT 'documents', doc_id, coalesce(text, '') FROM documents)"
+LEVELS = ", ".join(f"l{k + 1} AS (SELECT dataset, k // {perplexity.FANOUT} AS k, sha256(string_agg(digest, '' ORDER BY k)) AS digest FROM l{k} GROUP BY 1, 2)" for k in range(perplexity.LEVELS))
+
+
+@query(f"""WITH {TEXTS}, l0 AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY ord) - 1 AS k, sha256(text) AS digest FROM src), {LEVELS},
+s AS (SELECT dataset, count(*) AS n_rows, (sum(strlen(text)) + 2 * (count(*) - 1))::BIGINT AS bytes FROM src GROUP BY 1)
+SELECT s.dataset, n_rows, bytes, digest AS tree_sha256 FROM s JOIN l{perplexity.LEVELS} USING (dataset)""")
+def evaluation_corpora(spark, sf_dir):
     """S11 over every row: rows, bytes of the joined texts, and a tree's digest of them, since one text cannot hold a whole table."""
     return perplexity.corpus_sums(all_texts(spark, sf_dir), "ord")
 
@@ -192,35 +182,31 @@ def scored(segments: DataFrame) -> DataFrame:
 
 
 def perplexities(spark, sf_dir) -> DataFrame:
-    c = corpora(spark, sf_dir)
-    seg = packing.segments(c.select("dataset", T.words(F.col("corpus")).alias("ids")), 128)
-    return perplexity.results(scored(seg.select("dataset", F.size("tokens").cast("long").alias("tokens"))), c)
+    rows = all_texts(spark, sf_dir)
+    sizes = rows.groupBy("dataset").agg((F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")) + 2 * (F.count("*") - 1)).alias("bytes"))
+    return perplexity.results(scored(perplexity.segment_sizes(rows, "ord", 128)), sizes)
 
 
-PPL = f"""{CORPORA}, n AS (SELECT dataset, strlen(corpus) AS bytes, len({S.words('corpus')}) AS tokens FROM co), m AS {S.values(MODELS, 'model, v')},
+PPL = f"""{TEXTS}, n AS (SELECT dataset, sum(strlen(text)) + 2 * (count(*) - 1) AS bytes, sum(len({S.words('text')})) AS tokens FROM src GROUP BY 1), m AS {S.values(MODELS, 'model, v')},
 r AS (SELECT model, dataset, tokens::BIGINT AS tokens, ((tokens + 126) // 127)::BIGINT AS segments, bytes::BIGINT AS bytes, tokens * ln(v) AS nll FROM n, m),
 p AS (SELECT *, nll / tokens AS nats_per_token, exp(least(nll / tokens, 50)) AS perplexity, nll / (bytes * {math.log(2)}) AS bits_per_byte, 2 ** (nll / (bytes * {math.log(2)})) AS byte_perplexity, tokens / bytes AS tokens_per_byte FROM r)"""
 
 
-@query(f"WITH {PPL} SELECT dataset, model, round(nll, 6) AS nll, tokens, segments, bytes, nats_per_token, perplexity, bits_per_byte, byte_perplexity, tokens_per_byte FROM p")
-def perplexity_results(spark, sf_dir):
-    """Perplexity and bits per byte by model and dataset; of documents only those of doc_id < 20, as its SQL has it."""
-    return perplexities(spark, sf_dir).withColumn("nll", F.round("nll", 6))
+def _brief(name: str) -> str:
+    return f"round({name}, 9) AS {name}"
 
 
-@query(None)
-def perplexity_results_whole(spark, sf_dir):
-    """A14, X9, J5 over every row of both tables."""
-    rows = all_texts(spark, sf_dir)
-    sizes = rows.groupBy("dataset").agg((F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")) + 2 * (F.count("*") - 1)).alias("bytes"))
-    out = perplexity.results(scored(perplexity.segment_sizes(rows, "ord", 128)), sizes)
-    return out.withColumn("nll", F.round("nll", 6))
+@query(f"""WITH {PPL} SELECT dataset, model, round(nll, 3) AS nll, tokens, segments, bytes, {', '.join(map(_brief, ('nats_per_token', 'perplexity', 'bits_per_byte', 'byte_perplexity', 'tokens_per_byte')))} FROM p""")
+def perplexity_results(spark, sf_dir):
+    """Perplexity and bits per byte by model and dataset, over every row (rounded: sums of doubles)."""
+    out = perplexities(spark, sf_dir).withColumn("nll", F.round("nll", 3))
+    return out.withColumns({c: F.round(c, 9) for c in ("nats_per_token", "perplexity", "bits_per_byte", "byte_perplexity", "tokens_per_byte")})
 
 
-@query(f"WITH {PPL} SELECT model, bits_per_byte FROM p WHERE dataset = 'benchmark'")
+@query(f"WITH {PPL} SELECT model, round(bits_per_byte, 9) AS bits_per_byte FROM p WHERE dataset = 'benchmark'")
 def perplexity_ranking(spark, sf_dir):
     """A dataset's models, best first (compared as a set)."""
-    return perplexity.ranked(perplexities(spark, sf_dir), "benchmark").select("model", "bits_per_byte")
+    return perplexity.ranked(perplexities(spark, sf_dir), "benchmark").select("model", F.round("bits_per_byte", 9).alias("bits_per_byte"))
 
 
 DONE = [("uniform4", "benchmark"), ("uniform2", "documents")]

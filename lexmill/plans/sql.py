@@ -19,8 +19,8 @@ def words(c: str) -> str:
 
 
 def grams(c: str, n: int = 13) -> str:
-    w = f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
-    return f"list_distinct(list_transform(range(1, greatest(len({w}) - {n} + 2, 1)::BIGINT), lambda i: array_to_string({w}[i:i+{n - 1}], ' ')))"
+    found = f"[regexp_extract_all(lower({c}), '[a-z0-9]+')]"  # in a list of one, so that the words are found once
+    return f"(list_transform({found}, lambda w: list_distinct(list_transform(range(1, greatest(len(w) - {n} + 2, 1)::BIGINT), lambda i: array_to_string(w[i:i+{n - 1}], ' ')))))[1]"
 
 
 def literal(v: object) -> str:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+import uuid
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,6 +62,36 @@ def first_lines(rows: DataFrame, limit: int) -> DataFrame:
     return rows.where((F.col("ord") < limit) & not_blank(F.col("value")))
 
 
+def row_at(rows: DataFrame, file: int, ord: int) -> DataFrame:
+    """The line at one place of ``lines``: random access by place, with filters in place of an index of byte offsets."""
+    return rows.where((F.col("file") == file) & (F.col("ord") == ord))
+
+
+class Revisions:
+    """Revisions of repositories by a lookup, which is asked once for each; one that cannot be looked up has none, with a warning."""
+
+    def __init__(self, lookup: Callable[[str], str]):
+        self.lookup, self.known = lookup, {}
+
+    def __call__(self, repository: str) -> str | None:
+        if repository not in self.known:
+            try:
+                self.known[repository] = self.lookup(repository)
+            except Exception as error:  # an unpinned source is read as it is now
+                warnings.warn(f"no revision of {repository}: {error}", stacklevel=2)
+                self.known[repository] = None
+        return self.known[repository]
+
+    def plan(self, sources: list[dict]) -> list[dict]:
+        """The sources, each with the revision of its ``repository``."""
+        return [{**s, "revision": self(s["repository"])} for s in sources]
+
+
+def pinned(reader, revision: str | None):
+    """A reader with the option of a revision, where there is one."""
+    return reader if revision is None else reader.option("revision", revision)
+
+
 def opened(load, schema: str, spark: SparkSession) -> DataFrame:
     """What ``load()`` gives, or an empty table of the schema if it cannot be opened."""
     try:
@@ -68,17 +102,113 @@ def opened(load, schema: str, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _file_system(path: str):
+    """Arrow's file system and the path in it; Spark's names of the S3 connector (s3a, s3n) are Arrow's s3."""
+    from pyarrow import fs
+
+    path = re.sub(r"^s3[an]://", "s3://", path)
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
+#: Tokens of a part of a token binary: what an interrupted build loses at most.
+PART_TOKENS = 10_000_000
+
+
+def write_token_binary(stream: DataFrame, folder: str, total: int, plan: object, tokenizer: str, items: int = PART_TOKENS, dtype: str = "<u2") -> dict:
+    """Writes a token stream as raw parts ``tokens-<n>.bin`` of ``items`` tokens and returns the state it saves beside them.
+
+    ``stream`` has ``start``, the place of a row's first token, and ``ids``. A row is cut where parts meet, so what is
+    shuffled is a piece for each row and part; a part is sorted and written by one task, under a name of its own until
+    it is whole. Run again with the same plan and tokenizer, it writes only the parts that are missing; another plan, an
+    id that does not fit, and a stream that does not fill ``total`` are errors. ``state.json`` has schema_version,
+    tokens, target_tokens, plan_sha256 and sources.
+    """
+    from ..plans.artifacts import check_resume, plan_fingerprint
+
+    spark, mark, width, most = stream.sparkSession, plan_fingerprint(plan, tokenizer), np.dtype(dtype).itemsize, np.iinfo(dtype).max
+    files, root = _file_system(folder)
+    files.create_dir(root, recursive=True)
+    state_file = f"{root}/state.json"
+
+    def save(tokens: int) -> dict:
+        state = {"schema_version": 1, "tokens": tokens, "target_tokens": total, "plan_sha256": mark, "sources": plan}
+        with files.open_output_stream(state_file + ".tmp") as f:
+            f.write(json.dumps(state).encode())
+        files.move(state_file + ".tmp", state_file)
+        return state
+
+    from pyarrow import fs
+
+    def size(path: str) -> int:
+        info = files.get_file_info(path)
+        return info.size if info.type == fs.FileType.File else -1
+
+    if size(state_file) >= 0:
+        with files.open_input_stream(state_file) as f:
+            check_resume(json.loads(f.read()), mark)
+    else:
+        save(0)
+    parts = -(-total // items)
+    lengths = [min(items, total - k * items) for k in range(parts)]
+    missing = [k for k in range(parts) if size(f"{root}/tokens-{k:06d}.bin") != width * lengths[k]]
+    end = F.col("start") + F.size("ids")
+    pieces = (
+        stream.where(F.size("ids") > 0).withColumn("part", F.explode(F.sequence(F.floor(F.col("start") / items), F.floor((end - 1) / items))))
+        .withColumns({"a": F.greatest(F.col("start"), F.col("part") * items), "b": F.least(end, (F.col("part") + 1) * items, F.lit(total))}).where("b > a")
+        .select(F.col("part").cast("int"), "a", F.slice("ids", (F.col("a") - F.col("start") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("ids"))
+    )
+
+    def run(batches):
+        import pyarrow as pa
+
+        out, now, held, done = _file_system(folder)[0], None, None, 0
+
+        def close():
+            if held is not None:
+                held[0].close()
+                if done == lengths[now]:
+                    out.move(held[1], f"{root}/tokens-{now:06d}.bin")
+                else:
+                    out.delete_file(held[1])
+            return pa.RecordBatch.from_pydict({"part": [now] if held else [], "tokens": [done] if held else []}, schema=pa.schema([("part", pa.int32()), ("tokens", pa.int64())]))
+
+        for batch in batches:
+            for part, a, ids in zip(batch.column("part").to_pylist(), batch.column("a").to_pylist(), batch.column("ids")):
+                if part != now:
+                    if held:
+                        yield close()
+                    name = f"{root}/tokens-{part:06d}.{uuid.uuid4().hex}.part"
+                    now, held, done = part, (out.open_output_stream(name), name), 0
+                values = ids.values.to_numpy(zero_copy_only=False)
+                if a != part * items + done:
+                    raise ValueError(f"the stream has no token at place {part * items + done}")
+                if len(values) and not 0 <= values.min() <= values.max() <= most:
+                    raise ValueError(f"an id does not fit in {width} bytes")
+                held[0].write(values.astype(dtype).tobytes())
+                done += len(values)
+        if held:
+            yield close()
+
+    if missing:
+        wanted = pieces.join(F.broadcast(spark.createDataFrame([(k,) for k in missing], "part int")), "part", "left_semi")  # a row for each part
+        made = wanted.repartitionById(parts, "part").sortWithinPartitions("part", "a").mapInArrow(run, "part int, tokens long").collect()
+        got = {r["part"]: r["tokens"] for r in made}
+        short = [k for k in missing if got.get(k, 0) != lengths[k]]
+        if short:
+            save(sum(lengths[: short[0]]))
+            raise ValueError(f"the stream is exhausted: part {short[0]} has {got.get(short[0], 0)} of {lengths[short[0]]} tokens")
+    return save(total)
+
+
 def token_binary(spark: SparkSession, path: str, dtype: str = "<u2", items: int = 1 << 20) -> DataFrame:
     """(name, start, ids) runs of a raw token file or folder of them, each with the place of its first token."""
-    found = spark.read.format("binaryFile").load(path).select("path", "length")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", "length")
     width = np.dtype(dtype).itemsize
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for frame in frames:
             for name, start, n in frame[["path", "start", "n"]].itertuples(index=False):
-                files, at = fs.FileSystem.from_uri(name)
+                files, at = _file_system(name)
                 with files.open_input_file(at) as f:
                     ids = np.frombuffer(f.read_at(int(n) * width, int(start) * width), dtype)
                 yield pd.DataFrame({"name": [name.rsplit("/", 1)[-1]], "start": [int(start)], "ids": [ids.astype("int32")]})

@@ -39,3 +39,15 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_round_trip_of_ids(spark):
+    assert registry.queries()["bpe_round_trip"](spark, DATA).where("not same or n < 2").count() == 0
+
+
+def test_shuffled_rows_are_in_the_seed_s_order(spark):
+    from pyspark.sql import functions as F
+
+    rows = [r.doc_id for r in registry.queries()["shuffled_documents"](spark, DATA).collect()]
+    turn = {r.doc_id: r.t for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("t")).collect()}
+    assert rows == sorted(turn, key=lambda i: (turn[i], i)) != sorted(rows)
