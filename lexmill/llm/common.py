@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.shared import shared_folder, shared_path  # noqa: F401
+
 #: Bytes up to which a side may be broadcast. Beyond it the join is left to shuffles.
 BROADCAST_BYTES = 16 << 20
 
@@ -21,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, spark.checkpoint.dir; where that is unset, there is none to write to."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table written in the shared folder: lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession

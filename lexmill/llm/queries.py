@@ -80,15 +80,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op10's policy does: documents that fail it, fail it alone, are kept without it, are kept."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_token_counts, op2_url_filter, op3_toxicity, op4_fingerprints, op5_bpe, op6_pii, op7_token_store, op8_jaccard_join, op9_mixing, op10_quality_rules)
+        for f in (op1_token_counts, op2_url_filter, op3_toxicity, op4_fingerprints, op5_bpe, op6_pii, op7_token_store, op8_jaccard_join, op9_mixing, op10_quality_rules, quality_ablations)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": URL_SQL, "op10_quality_rules": QUALITY_SQL}
+    return {"op2_url_filter": URL_SQL, "op10_quality_rules": QUALITY_SQL, "quality_ablations": ABLATIONS_SQL}
 
 
 URL_SQL = r"""
@@ -107,7 +112,7 @@ SELECT u.page_id, u.host, u.path, b.rule AS rule, coalesce(b.verdict, 'allow') A
 FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path
 """
 
-QUALITY_SQL = r"""
+MEASURED_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
 g AS (SELECT r, i, words[i:i+2] AS gram FROM w, unnest(range(1, greatest(len(words) - 1, 1)::BIGINT)) AS t(i)),
@@ -121,9 +126,19 @@ m AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters
   FROM d JOIN w USING (r) LEFT JOIN p USING (r)),
+"""
+QUALITY_SQL = MEASURED_SQL + r"""
 f AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 5 * len(lines)
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (10 * n_upper > 7 * n_letters AND n_letters > 0)) AS kept
 FROM f
 """
+
+ABLATIONS_SQL = MEASURED_SQL + r"""
+b AS (SELECT (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * (len(lines) - len(list_distinct(lines))) > 5 * len(lines))::INT
+  + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT + 32 * (10 * n_upper > 7 * n_letters AND n_letters > 0)::INT AS failed FROM m),
+r AS (SELECT * FROM (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('upper_case', 32)) AS t(rule, bit))
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_alone, count(*) FILTER (failed & (63 - bit) = 0) AS n_kept_without,
+  count(*) FILTER (failed = 0) AS n_kept FROM b, r GROUP BY rule
+"""
