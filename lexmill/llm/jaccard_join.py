@@ -31,7 +31,7 @@ from .common import all_columns, as_rows, in_arrow, mix64, shared_folder, slices
 #: Words kept hashed in a task, and n-grams signed at a time.
 MEMO_WORDS, SIGN_ROWS = 100_000, 1024
 #: Bytes of n-gram hashes, and texts, that one side of a block holds on average; texts of a side in a trie's node.
-BLOCK_BYTES, BLOCK_TEXTS, NODE_TEXTS = 8 << 20, 512, 128
+BLOCK_BYTES, BLOCK_TEXTS, NODE_TEXTS = 8 << 20, 128, 128
 #: Edges of a node from which on they are joined apart.
 HUB_EDGES = 256
 
