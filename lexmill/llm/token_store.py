@@ -253,13 +253,14 @@ class PieceEncoder:
     @staticmethod
     def _joined(pieces: list[str]) -> list[str]:
         """The pieces of a split at spaces, with those put together again between which a cut is not safe."""
-        out = pieces[:1]
+        runs = [pieces[:1]]
         for x in pieces[1:]:
-            if not out[-1] or out[-1][-1].isspace():
-                out[-1] += " " + x
+            last = runs[-1][-1]
+            if not last or last[-1].isspace():
+                runs[-1].append(x)
             else:
-                out.append(x)
-        return out
+                runs.append([x])
+        return [" ".join(r) for r in runs]
 
     @staticmethod
     def _after(ids: np.ndarray, ends: np.ndarray, more: np.ndarray, more_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
