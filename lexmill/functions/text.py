@@ -30,7 +30,7 @@ def collapse(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The text split at white space; an empty array for an empty or null text."""
-    return F.filter(F.split(strip(F.coalesce(text, F.lit(""))), f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(strip(F.coalesce(text, F.lit(""))), f"{SPACE}+"), "")
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -46,18 +46,19 @@ def few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else table
 
 
-def running(df: DataFrame, size: str | dict[str, str], order: str, source: str | None = None) -> DataFrame:
+def running(df: DataFrame, size: str | dict[str, str], order: str, source: str | None = None, ordered: DataFrame | None = None) -> DataFrame:
     """``df`` with ``through``: the sum of ``size`` up to and with the row, by ``order`` (a unique number), within ``source``.
 
-    Of several sums at a time, ``size`` has each one's column by the name of the sum.
+    Of several sums at a time, ``size`` has each one's column by the name of the sum. Where ``df`` is costly to work out,
+    ``ordered`` may be the table it is made from: the ranges are then laid over that one's ``order`` column.
     """
     sums_of = size if isinstance(size, dict) else {"through": size}
     keys = [source] if source else []
-    span = df.agg(F.count("*").alias("n")).first()
-    n = max(1, min(RANGES, -(-span["n"] // RANGE_ROWS)))
+    ordered = (df if ordered is None else ordered).select(order)
+    n = max(1, min(RANGES, -(-ordered.count() // RANGE_ROWS)))
     if n == 1:
         return df.withColumns({k: F.sum(c).over(Window.partitionBy(*keys).orderBy(order)) for k, c in sums_of.items()})
-    cuts = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n)))
+    cuts = sorted(set(ordered.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n)))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order)))
     cut = df.withColumn("__range", part)
     sums = cut.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__sum_{k}") for k, c in sums_of.items()])

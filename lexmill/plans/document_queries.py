@@ -24,7 +24,11 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text", "source")))
+    """The table's columns. Texts of a table with fewer splits than cores are dealt out, as such a table is small but its
+    texts are long to work on; any other is read as it lies."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text", "source")))
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores, "doc_id") if "text" in d.columns and d.rdd.getNumPartitions() < cores else d
 
 
 def fields(df: DataFrame) -> DataFrame:
@@ -96,7 +100,7 @@ def counted(spark, sf_dir) -> DataFrame:
 def quota_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = counted(spark, sf_dir)
     table = quota.share_table(rows)
-    return quota.running(quota.with_quota(rows, table), "n", "doc_id", "source"), table
+    return quota.running(quota.with_quota(rows, table), "n", "doc_id", "source", documents(spark, sf_dir, "doc_id")), table
 
 
 SHARES = """q AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS place,
@@ -129,7 +133,7 @@ def quota_overshoot(spark, sf_dir):
     d = documents(spark, sf_dir).where(F.length(T.strip(F.col("text"))) >= T.LEAST_CHARS)
     rows = T.once(d, n=F.size(T.words(F.col("text"))).cast("long")).select("doc_id", "source", "n").where("n >= 32")
     table = quota.share_table(rows, rest_to="first")
-    cut = quota.overshoot_cut(quota.running(quota.with_quota(rows, table), "n", "doc_id", "source"))
+    cut = quota.overshoot_cut(quota.running(quota.with_quota(rows, table), "n", "doc_id", "source", documents(spark, sf_dir, "doc_id")))
     return cut.groupBy("source", "quota").agg(F.count("*").alias("n_docs"), F.sum("taken").alias("tokens"))
 
 
@@ -168,7 +172,7 @@ def byte_quota(spark, sf_dir):
     """A tokenizer corpus cut to UTF-8 byte quotas at whole characters, line by line."""
     lines = documents(spark, sf_dir).select("doc_id", "source", T.corpus_line(F.col("text")).alias("text")).withColumn("n", F.octet_length("text").cast("long"))
     table = quota.share_table(lines)
-    cut = quota.byte_cut(quota.running(quota.with_quota(lines, table), "n", "doc_id", "source"))
+    cut = quota.byte_cut(quota.running(quota.with_quota(lines, table), "n", "doc_id", "source", lines))
     return cut.select("doc_id", "source", "quota", F.col("taken").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
 
 
@@ -178,7 +182,7 @@ def single_pool(spark, sf_dir):
     """One pool cut to half of all tokens, whatever the sources."""
     d = T.once(documents(spark, sf_dir, "doc_id", "text"), n=F.size(T.words(F.col("text"))).cast("long")).select("doc_id", "n")
     half = d.agg(F.floor(F.sum("n") / 2)).first()[0] or 0
-    return quota.exact_cut(quota.running(d, "n", "doc_id").withColumn("quota", F.lit(half))).select("doc_id", "taken")
+    return quota.exact_cut(quota.running(d, "n", "doc_id", ordered=documents(spark, sf_dir, "doc_id")).withColumn("quota", F.lit(half))).select("doc_id", "taken")
 
 
 @query("SELECT source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars, count(*) FILTER (text <> '') AS n_not_empty FROM documents GROUP BY ROLLUP (source)")

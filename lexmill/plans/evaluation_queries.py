@@ -97,13 +97,18 @@ def benchmark_items(spark, sf_dir):
 
 
 # A device for tests: a choice's log-likelihood is minus its words that the prompt lacks; it has a token for each word.
-def scores(spark) -> DataFrame:
-    c = benchmarks.choice_rows(all_items(spark))
+def scores(items: DataFrame) -> DataFrame:
+    c = benchmarks.choice_rows(items)
     w, p = T.words(F.col("choice")), T.words(F.col("prompt"))
     missing = F.size(F.filter(F.col("w"), lambda x: ~F.array_contains("p", x)))
     return c.withColumns({"w": w, "p": p}).select("task", "source_index", "choice_index", (-missing).cast("double").alias("log_likelihood"), F.size("w").cast("long").alias("target_tokens"))
 
 
+def predicted(spark) -> DataFrame:
+    items = all_items(spark)  # once: its checks are jobs
+    return benchmarks.predictions(items, scores(items))
+
+
 SCORES = f"""sc AS (SELECT task, source_index, label, len(choices) AS n, (i - 1)::INT AS choice_index, {S.words('choices[i]')} AS w, {S.words('prompt')} AS p FROM items, unnest(range(1, len(choices) + 1)) AS u(i)),
 ll AS (SELECT *, (0 - len(list_filter(w, lambda x: NOT list_contains(p, x))))::DOUBLE AS log_likelihood, len(w)::BIGINT AS target_tokens FROM sc),
 pr AS (SELECT task, source_index, label, n, sum(target_tokens) AS tok, list(choice_index ORDER BY log_likelihood DESC, choice_index)[1] AS prediction,
@@ -113,14 +118,13 @@ pr AS (SELECT task, source_index, label, n, sum(target_tokens) AS tok, list(choi
 @query(f"WITH {ITEMS}, {SCORES} SELECT task, source_index, choice_index, log_likelihood, target_tokens FROM ll")
 def candidate_scores(spark, sf_dir):
     """A row for each choice with its score."""
-    return scores(spark)
+    return scores(all_items(spark))
 
 
 @query(f"WITH {ITEMS}, {SCORES} SELECT task, source_index, label, prediction, normalized_prediction, prediction = label AS correct, n AS n_scores FROM pr")
 def benchmark_predictions(spark, sf_dir):
     """The best choice by sum and by mean; the first wins ties."""
-    out = benchmarks.predictions(all_items(spark), scores(spark))
-    return out.select("task", "source_index", "label", "prediction", "normalized_prediction", "correct", F.size("scores").cast("long").alias("n_scores"))
+    return predicted(spark).select("task", "source_index", "label", "prediction", "normalized_prediction", "correct", F.size("scores").cast("long").alias("n_scores"))
 
 
 SUMMARY = f"""{ITEMS}, {SCORES}, sm AS (SELECT task, count(*) AS questions, avg((prediction = label)::INT) AS accuracy, avg((normalized_prediction = label)::INT) AS normalized_accuracy,
@@ -131,14 +135,14 @@ SUMMARY = f"""{ITEMS}, {SCORES}, sm AS (SELECT task, count(*) AS questions, avg(
   least(accuracy + 1.96 * sqrt(greatest(accuracy * (1 - accuracy), 0) / questions), 1) AS high FROM sm""")
 def benchmark_summary(spark, sf_dir):
     """Accuracies, chance, tokens a choice and limits by task."""
-    return benchmarks.task_summary(benchmarks.predictions(all_items(spark), scores(spark)))
+    return benchmarks.task_summary(predicted(spark))
 
 
 @query(f"""WITH {SUMMARY} SELECT count(*) AS tasks, sum(questions)::BIGINT AS questions, sum(accuracy * questions) / sum(questions) AS weighted_accuracy,
   sum(normalized_accuracy * questions) / sum(questions) AS weighted_normalized, avg(accuracy) AS macro_accuracy, avg(normalized_accuracy) AS macro_normalized FROM sm""")
 def benchmark_overall(spark, sf_dir):
     """Weighted and plain means over tasks."""
-    return benchmarks.overall(benchmarks.task_summary(benchmarks.predictions(all_items(spark), scores(spark))))
+    return benchmarks.overall(benchmarks.task_summary(predicted(spark)))
 
 
 @query(None)
