@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, mixing, pii, quality_rules, token_counts, token_store, toxicity, url_filter
+from . import bpe, fill_in_middle, filter_audit, fingerprints, jaccard_join, mixing, pii, quality_rules, token_counts, token_store, toxicity, url_filter
 from .common import table
 
 #: The setting that holds the key of pseudonyms, and what stands in for it where a session has none, as in tests.
@@ -80,6 +80,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of op10's policy does: documents that fail it, fail it alone, are kept without it, are kept."""
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -88,12 +96,15 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_token_counts, op2_url_filter, op3_toxicity, op4_fingerprints, op5_bpe, op6_pii, op7_token_store, op8_jaccard_join, op9_mixing, op10_quality_rules, quality_ablations)
+        for f in (op1_token_counts, op2_url_filter, op3_toxicity, op4_fingerprints, op5_bpe, op6_pii, op7_token_store, op8_jaccard_join, op9_mixing, op10_quality_rules, op11_filter_audit, op13_fill_in_middle, quality_ablations)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": URL_SQL, "op10_quality_rules": QUALITY_SQL, "quality_ablations": ABLATIONS_SQL}
+    return {
+        "op2_url_filter": URL_SQL, "op10_quality_rules": QUALITY_SQL, "quality_ablations": ABLATIONS_SQL,
+        "op11_filter_audit": AUDIT_SQL, "op13_fill_in_middle": MIDDLE_SQL,
+    }
 
 
 URL_SQL = r"""
@@ -142,3 +153,49 @@ r AS (SELECT * FROM (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbo
 SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_alone, count(*) FILTER (failed & (63 - bit) = 0) AS n_kept_without,
   count(*) FILTER (failed = 0) AS n_kept FROM b, r GROUP BY rule
 """
+
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, md5(coalesce(text, '')) AS digest, string_split_regex(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS cut FROM documents),
+w AS (SELECT *, CASE WHEN cut = [''] THEN [] ELSE cut END AS words FROM d),
+firsts AS (SELECT digest, min(doc_id) AS least FROM d GROUP BY 1),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(w_toxic, false) AS toxic,
+    (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(least < w.doc_id, false)::INT AS fails
+  FROM w JOIN firsts USING (digest) LEFT JOIN (SELECT doc_id, good, toxic AS w_toxic FROM known) k ON k.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY 1, 2),
+bits AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(name, bit)),
+sets AS (SELECT range AS applied FROM range(32)),
+edges AS (
+  SELECT part, name, bit, applied, sum(n) FILTER (fails & applied = 0) AS before, coalesce(sum(n) FILTER (fails & applied = 0 AND fails & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (fails & bit <> 0), 0) AS failing, coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails & applied = 0 AND fails & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails & applied = 0 AND fails & bit <> 0), 0) AS toxic_lost
+  FROM c, bits, sets WHERE applied & bit = 0 GROUP BY 1, 2, 3, 4),
+shares AS (SELECT part, name, sum(removed * factorial(bit_count(applied)::INT) * factorial(4 - bit_count(applied)::INT)) AS shapley FROM edges GROUP BY 1, 2),
+perms AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bit_order
+  FROM bits a, bits b, bits c, bits d, bits e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, step::INT AS step, bit_order[step] AS bit, coalesce(list_sum(bit_order[1:step - 1]), 0)::INT AS applied FROM perms, range(1, 6) AS t(step))
+SELECT part, filter_order, step, (coalesce(before, 0) - removed)::BIGINT AS kept, removed::BIGINT AS removed, (failing - removed)::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, shapley::BIGINT AS shapley
+FROM steps JOIN edges USING (bit, applied) JOIN shares USING (part, name)
+"""
+
+MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT for i in range(4)] AS draws FROM d),
+p AS (
+  SELECT *, len(units) AS n, least(draws[1] % (len(units) + 1), draws[2] % (len(units) + 1)) AS low, greatest(draws[1] % (len(units) + 1), draws[2] % (len(units) + 1)) AS high,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draws[3] % 100 >= 90 AS plain
+  FROM u),
+s AS (
+  SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix, coalesce(array_to_string(units[low + 1:high], ''), '') AS middle, coalesce(array_to_string(units[high + 1:], ''), '') AS suffix FROM p)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN draws[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN draws[4] % 100 < 20 THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM s
+"""
