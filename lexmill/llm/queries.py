@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_in_middle, filter_audit, fingerprints, jaccard_join, mixing, pii, quality_rules, token_counts, token_store, toxicity, url_filter
+from . import bpe, fill_in_middle, filter_audit, fingerprints, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_counts, token_store, toxicity, url_filter
 from .common import table
 
 #: The setting that holds the key of pseudonyms, and what stands in for it where a session has none, as in tests.
@@ -84,6 +84,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -96,7 +100,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_token_counts, op2_url_filter, op3_toxicity, op4_fingerprints, op5_bpe, op6_pii, op7_token_store, op8_jaccard_join, op9_mixing, op10_quality_rules, op11_filter_audit, op13_fill_in_middle, quality_ablations)
+        for f in (op1_token_counts, op2_url_filter, op3_toxicity, op4_fingerprints, op5_bpe, op6_pii, op7_token_store, op8_jaccard_join, op9_mixing, op10_quality_rules, op11_filter_audit, op12_suffix_dedup, op13_fill_in_middle, quality_ablations)
     }
 
 
