@@ -113,10 +113,12 @@ def stretches(raw: np.ndarray, of: np.ndarray, settings: Settings) -> tuple[np.n
         lengths = np.diff(starts)
     starts = starts[:-1]
     starts, lengths = starts[whole[starts]], lengths[whole[starts]]
-    edge = np.full(size - 1, anchors.max(), anchors.dtype)
-    of_some = ~sliding_least(~np.concatenate([edge, anchors, edge]), size) == parts_hashes  # parts that are the anchor of a string
-    before = np.concatenate([[0], np.cumsum(of_some)])
-    same = before[starts + lengths + size - 1] - before[starts] > 1
+    edge = np.zeros(size - 1, anchors.dtype)
+    some = np.flatnonzero(~sliding_least(~np.concatenate([edge, anchors, edge]), size) == parts_hashes)  # parts that are the anchor of a string
+    begin, end = np.searchsorted(some, starts), np.searchsorted(some, starts + lengths + size - 1)
+    of_stretch = np.repeat(np.arange(len(starts)), end - begin)
+    part = some[np.arange(len(of_stretch)) - np.repeat(np.cumsum(end - begin) - end, end - begin)]
+    same = np.bincount(of_stretch, parts_hashes[part] == anchors[starts][of_stretch], len(starts)) > 1
     return starts, lengths + INNER * same, anchors[starts], hashes.of(starts, starts + lengths + w - 1) ^ lengths.astype(np.uint64)
 
 

@@ -143,6 +143,20 @@ def test_copies_of_a_block(stretches):
     assert got == want
 
 
+@given(st.binary(min_size=12, max_size=150).map(lambda b: bytes(c % 2 for c in b)), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_stretches_of_one_anchor(raw, repeats):
+    """Every string is in one stretch, all strings of a stretch have its anchor, and INNER says whether that stands in it twice."""
+    raw = (raw[:7] * 30)[:150] if repeats else raw
+    data = np.frombuffer(raw, np.uint8)
+    start, n, anchor, _ = suffix_dedup.stretches(data, np.zeros(len(raw), int), Settings(width=12, anchor=5))
+    hashes = suffix_dedup.SpanHashes(data, len(data)).all(5)
+    lengths = n % suffix_dedup.INNER
+    assert [a + k for a, m in zip(start, lengths) for k in range(m)] == list(range(len(raw) - 11))
+    for a, k, inner, least in zip(start, lengths, n >= suffix_dedup.INNER, anchor):
+        assert all(hashes[i : i + 8].min() == least for i in range(a, a + k)) and inner == ((hashes[a : a + k + 7] == least).sum() > 1)
+
+
 @pytest.mark.parametrize("chosen", [Settings(), Settings(block_stretches=2), Settings(anchor=16, block_stretches=0)])
 def test_dedup_equals_brute_force(spark, chosen):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
