@@ -20,17 +20,33 @@ ROUNDS = 10
 #: Days of the 400-year cycle that starts on 1 January 1700: 189 * 773.
 CYCLE_START, CYCLE = "1700-01-01", (189, 773)
 
-# Fixed formats (Java regular expressions). An earlier kind is tried first at a place.
-KEY_NAME = r"""(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?"""
+# Fixed formats (Java regular expressions). An earlier kind is tried first at a place. Values of any length are taken whole:
+# what has no length of its own is a run of a class, which Java matches without recursion, from the run's start or from where the last value ended.
+KEY_NAME = r"""(?i:token|password|passwd|secret|api[_-]?key)\s*+[=:]\s*+["']?+"""
+KEY_VALUE = r"""[^\s"'<>,;]*[\p{L}\p{N}]"""
+MAIL = r"[\p{L}\p{N}._%+-]"
+#: Lengths of bank account numbers by country.
+IBAN = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IT": 27, "LU": 20, "NL": 18, "PT": 25}
+HEX = "[0-9A-Fa-f]{1,4}"
+
+
+def _iban(country: str, length: int) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"{country}\d{{2}}" + r"(?: ?[A-Z0-9]{4})" + f"{{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 KINDS = {
-    "named_key": KEY_NAME + r"[A-Za-z0-9_/+-]{12,}+",
+    "named_key": rf"""{KEY_NAME}(?:(?<==\s{{0,3}}["']?){KEY_VALUE}|[A-Za-z0-9_/+-]{{12,}}+|(?=[^\s\d"'<>,;]*+\d){KEY_VALUE})""",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "email": r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "email": rf"(?:(?<!{MAIL})|\G){MAIL}++@(?=[\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}.-]*\.\p{{L}}{{2,}}+",
+    "iban": r"\b(?:" + "|".join(_iban(c, n) for c, n in IBAN.items()) + r")\b",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d.])\d{3}\.\d{3}\.\d{4}(?!\d|\.\d)",
+    "world_phone": r"\+[1-9]\d{0,2}(?:[ ./-]?\(?\d{1,4}\)?){2,6}(?!\d)|(?<![\d.])0[1-9](?:([ .-]?)\d{2})(?:\1\d{2}){3}(?![\d.])|(?<!\d)(?:\(0\d{2,4}\)|0\d{2,4})(?: ?[/-] ?| )\d{3,4}[ -]?\d{3,5}(?!\d)",
     "iso_date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "dotted_date": r"(?<![\d.])\d{2}\.\d{2}\.\d{4}(?!\d|\.\d)",
     "slashed_date": r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
+    "ipv6": rf"(?<![\w:.])(?:(?:{HEX}:){{7}}{HEX}|(?=[A-Fa-f:]*+\d)(?:{HEX}(?::{HEX}){{0,5}})?::(?:{HEX}(?::{HEX}){{0,5}})?)(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{13,19})(?!\d)",
 }
@@ -66,8 +82,8 @@ def permuted_digits(key: str, kind: str, digits: Column) -> Column:
     return _let(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), right, "0")))
 
 
-def permuted_text(key: str, kind: str, text: Column) -> Column:
-    """A keyed permutation of texts that keeps each character's class: digit, a range of LETTERS, or itself.
+def permuted_text(key: str, kind: str, text: Column, letters: tuple[tuple[str, str], ...] = LETTERS) -> Column:
+    """A keyed permutation of texts that keeps each character's class: digit, a range of ``letters``, or itself.
 
     Texts that differ only in the case of letters become texts that differ only in that.
     """
@@ -80,7 +96,7 @@ def permuted_text(key: str, kind: str, text: Column) -> Column:
         def one(c: Column, by: Column) -> Column:
             turned = lambda first, size: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + by, F.lit(size)))
             out = F.when(c.between("0", "9"), turned("0", 10))
-            for first, last in LETTERS:
+            for first, last in letters:
                 out = out.when(c.between(first, last), turned(first, ord(last) - ord(first) + 1))
             return out.otherwise(c)
 
@@ -106,10 +122,10 @@ def _only_digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _in_format(x: Column, digits: Column) -> Column:
-    """x with its digits replaced, in order, by those given."""
-    place = lambda i: F.length(_only_digits(F.substring(x, F.lit(1), i)))
-    one = lambda i: F.when(F.substring(x, i, F.lit(1)).rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(F.substring(x, i, F.lit(1)))
+def _in_format(x: Column, digits: Column, kind: str = "0-9") -> Column:
+    """x with its digits, or the characters of another class, replaced in order by those given."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(x, F.lit(1), i), f"[^{kind}]", ""))
+    one = lambda i: F.when(F.substring(x, i, F.lit(1)).rlike(f"[{kind}]"), F.substring(digits, place(i), F.lit(1))).otherwise(F.substring(x, i, F.lit(1)))
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), one), "")
 
 
@@ -149,6 +165,37 @@ def _phone(key: str, x: Column) -> Column:
     return _let(_let(_only_digits(x), new), lambda w: _in_format(x, w))
 
 
+def _world_phone(key: str, x: Column) -> Column:
+    """The country's code, or a leading zero and the digit after it, stay; all other digits are permuted. 8 to 15 digits."""
+    code = F.regexp_extract(x, r"^\+(\d{1,3})(?!\d)", 1)
+
+    def new(d: Column) -> Column:
+        kept = F.when(code != "", F.length(code)).otherwise(2)
+        return F.concat(F.substring(d, F.lit(1), kept), permuted_digits(key, "phone", F.substring(d, kept + 1, F.length(d))))
+
+    digits = _only_digits(x)
+    return _let(digits, lambda d: F.when(F.length(d).between(8, 15), _let(new(d), lambda w: _in_format(x, w))).otherwise(x))
+
+
+def rest_97(chars: Column) -> Column:
+    """The rest by 97 of the number that digits, and letters as 10 to 35, write."""
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    add = lambda r, i: _let(F.substring(chars, i, F.lit(1)), lambda c: (r * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97)
+    return F.aggregate(F.sequence(F.lit(1), F.length(chars)), F.lit(0), add)
+
+
+def _bank_account(key: str, x: Column) -> Column:
+    """An IBAN whose check digits are right becomes another such one of its country."""
+    check = lambda country, number: F.lpad((F.lit(98) - rest_97(F.concat(number, country, F.lit("00")))).cast("string"), 2, "0")
+
+    def new(plain: Column) -> Column:
+        country, number = F.substring(plain, F.lit(1), F.lit(2)), F.substring(plain, F.lit(5), F.length(plain))
+        made = _let(permuted_text(key, "iban", number, (("A", "Z"),)), lambda n: F.concat(country, check(country, n), n))
+        return F.when(F.substring(plain, F.lit(3), F.lit(2)) == check(country, number), _let(made, lambda w: _in_format(x, w, "A-Z0-9"))).otherwise(x)
+
+    return _let(F.replace(x, F.lit(" "), F.lit("")), new)
+
+
 def _ssn(key: str, x: Column) -> Column:
     """Areas 001 to 899 but 666, groups from 01 and serial numbers from 0001 are numbered, and the numbers permuted."""
     part = lambda i, n: F.substring(x, F.lit(i), F.lit(n)).cast("long")
@@ -215,11 +262,14 @@ def pseudonym(x: Column, key: str) -> Column:
         F.when(is_kind("named_key"), _named_key(key, x))
         .when(is_kind("access_key"), F.concat(F.lit("AKIA"), permuted_text(key, "access", F.substring(x, F.lit(5), F.lit(16)))))
         .when(is_kind("email"), _email(key, x))
+        .when(is_kind("iban"), _bank_account(key, x))
         .when(is_kind("phone"), _phone(key, x))
+        .when(is_kind("world_phone"), _world_phone(key, x))
         .when(is_kind("iso_date"), _date(key, x, "yyyy-MM-dd", x))
         .when(is_kind("dotted_date"), _date(key, x, "dd.MM.yyyy", F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))))
         .when(is_kind("slashed_date"), _slashed_date(key, x))
         .when(is_kind("ip"), _ip(key, x))
+        .when(is_kind("ipv6"), permuted_text(key, "ipv6", x, (("a", "f"), ("A", "F"))))
         .when(is_kind("ssn"), _ssn(key, x))
         .when(is_kind("card"), _card(key, x))
         .otherwise(x)
@@ -229,9 +279,11 @@ def pseudonym(x: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_values") -> DataFrame:
     """The rows of ``docs`` with personal data in the text replaced, and in ``count_col`` how many values were.
 
-    Cards (Luhn), phone numbers, IPv4 addresses, dates from 1700 to 2099 (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, dd/mm/yyyy where that is none), US
-    social security numbers, e-mail addresses, and access keys are replaced; numbers that fail their check stay as they
-    are. A clean document that names a day, a version like an address or a telephone number of a firm is altered too:
+    Cards (Luhn), phone numbers (North American with -, ., spaces or brackets; with + and a country's code, 8 to 15 digits;
+    with a leading zero in groups of two, or with an area code set off), IBANs of the countries in ``IBAN`` (check digits), IPv4 and IPv6
+    addresses, dates from 1700 to 2099 (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, dd/mm/yyyy where that is none), US social security
+    numbers, e-mail addresses of any length, access keys, and values of named keys (of any length after =; after a colon with a digit or
+    12 characters) are replaced; numbers that fail their check stay as they are. Digits and letters of a value are what is replaced. A clean document that names a day, a version like an address or a telephone number of a firm is altered too:
     the formats do not tell whose they are. A null text stays null with a count of 0; an empty one stays empty. All other
     columns and rows, repeated ones too, pass through; a column named ``count_col`` is replaced, one that clashes with a
     helper's name is kept. Whole texts are searched, in one pass with no shuffle. An empty table gives an empty one.

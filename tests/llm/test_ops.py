@@ -443,6 +443,53 @@ def test_whole_keys_names_in_capitals_and_days_first(spark):
     assert new[-len(left) :] == left and sum(a == b for a, b in zip(dates, made)) < 3
 
 
+def plain_iban(x):
+    """Whether check digits are right, by the standard's own rule."""
+    y = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in y[4:] + y[:4])) % 97 == 1
+
+
+def test_values_of_any_length_are_taken_whole(spark):
+    key, draw = derived("k"), random.Random(6)
+    word = lambda n: "".join(draw.choice("abcdefghijkl") for _ in range(n))
+    mails = [f"{word(n)}@{word(5)}.org" for n in (1, 64, 65, 80, 300, 5000)]
+    mails += [word(6) + "@" + ".".join(word(2) for _ in range(n)) + ".com" for n in (9, 12, 20, 400)] + [f"{word(9)}.{word(70)}+x@{word(70)}.{word(30)}"]
+    keys = ["short1", "a1", "p4ss.w!rd9", word(12), word(500) + "-7"]
+    texts = [f"to {m}, or {m}." for m in mails] + [f"password:    {k}, and {k}" for k in keys] + [f"Secret = {word(4)}", f"api-key='{word(3)}'", f"passwd=abcdefghijkl.{mails[0]}"]
+    new = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for m, t in zip(mails, new):
+        dot = m.rindex(".")
+        made = plain_text(key, "email", m[:dot]) + m[dot:]
+        assert t == f"to {made}, or {made}." and made != m
+    for k, t in zip(keys, new[len(mails) :]):
+        assert t == f"password:    {plain_text(key, 'key', k)}, and {k}"
+    for old, t in zip(texts[-3:], new[-3:]):
+        assert t != old and len(t) == len(old) and old.split("@")[0][-4:] != t.split("@")[0][-4:]
+    kept = ["a" * 300_000, "a@" + "b." * 100_000, "@" * 1000, "secret: never give up", "x@-y.com", "the token: one"]
+    assert [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string"), "k").orderBy("doc_id").collect()] == kept
+
+
+def test_numbers_of_several_countries(spark):
+    key = derived("k")
+    phones = {"+49 30 12345678": 2, "+33 (0)1 23 45 67 89": 2, "+34 612 345 678": 2, "+4930123456": 2, "01 23 45 67 89": 2, "06.12.34.56.78": 2, "030 12345678": 2, "0171/1234567": 2, "(089) 1234-5678": 2}
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606", "ES91 2100 0418 4502 0005 1332", "GB29NWBK60161331926819"]
+    others = ["555.123.4567", "2001:db8::1", "::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "FE80::AB12:3"]
+    left = ["DE88 3704 0044 0532 0130 00", "12:34:56", "std::vector a::b", "+1 2 3", "10 000 000", "1:2:3:4:5:6:7:8:9", "+12345678901234567"]
+    texts = [*phones, *ibans, *others, *left]
+    new = [r.text[2:-2] for r in pii.pseudonymised(spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(texts)], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    shape = lambda s: "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in s)
+    assert new[-len(left) :] == left
+    for old, made in zip(texts[: -len(left)], new):
+        assert shape(old) == shape(made) and (old != made), old
+    for (old, kept), made in zip(phones.items(), new):
+        digits = "".join(c for c in old if c.isdigit())
+        kept = 2 if old[0] != "+" or old[3].isdigit() else len(old[1:].split(" ")[0])
+        assert "".join(c for c in made if c.isdigit()) == digits[:kept] + plain_digits(key, "phone", digits[kept:])
+    made = new[len(phones) : len(phones) + len(ibans)]
+    assert all(map(plain_iban, ibans + made)) and made[0].replace(" ", "") == made[1]
+    assert all(int(g, 16) < 65536 for t in new[len(phones) + len(ibans) + 1 : -len(left)] for g in t.split(":") if g)
+
+
 def test_pseudonyms_are_one_to_one(spark):
     digits = spark.range(10_000).select(F.format_string("%04d", "id").alias("x"))
     assert digits.select(pii.permuted_digits("k", "t", F.col("x")).alias("y")).distinct().count() == 10_000
