@@ -47,7 +47,9 @@ def few(table: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, size: str | dict[str, str], order: str, source: str | None = None, ordered: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``through``: the sum of ``size`` up to and with the row, by ``order`` (a unique number), within ``source``.
+    """``df`` with ``through``: the sum of ``size`` up to and with the row, by ``order`` (a number), within ``source``.
+
+    Rows that share a number stand in some order, each with a sum of its own, so cuts are exact.
 
     Of several sums at a time, ``size`` has each one's column by the name of the sum. Where ``df`` is costly to work out,
     ``ordered`` may be the table it is made from: the ranges are then laid over that one's ``order`` column.
@@ -57,14 +59,15 @@ def running(df: DataFrame, size: str | dict[str, str], order: str, source: str |
     ordered = (df if ordered is None else ordered).select(order)
     n = max(1, min(RANGES, -(-ordered.count() // RANGE_ROWS)))
     if n == 1:
-        return df.withColumns({k: F.sum(c).over(Window.partitionBy(*keys).orderBy(order)) for k, c in sums_of.items()})
+        all_rows = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({k: F.sum(c).over(all_rows) for k, c in sums_of.items()})
     cuts = sorted(set(ordered.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n)))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order)))
     cut = df.withColumn("__range", part)
     sums = cut.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__sum_{k}") for k, c in sums_of.items()])
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "__range", *[F.coalesce(F.sum(f"__sum_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in sums_of])
-    inside = Window.partitionBy(*keys, "__range").orderBy(order)
+    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = cut.join(offsets, [*keys, "__range"])
     return met.withColumns({k: F.col(f"__before_{k}") + F.sum(c).over(inside) for k, c in sums_of.items()}).drop("__range", *[f"__before_{k}" for k in sums_of])
 

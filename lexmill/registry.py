@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import chat_queries, document_queries, evaluation_queries
+from .plans import chat_queries, document_queries, evaluation_queries, store_queries
 
-MODULES = [document_queries, chat_queries, evaluation_queries]
+MODULES = [document_queries, chat_queries, evaluation_queries, store_queries]
 
 
 def queries() -> dict:

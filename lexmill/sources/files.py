@@ -103,9 +103,11 @@ def opened(load, schema: str, spark: SparkSession) -> DataFrame:
 
 
 def _file_system(path: str):
-    """Arrow's file system and the path in it; Spark's names of the S3 connector (s3a, s3n) are Arrow's s3."""
+    """Arrow's file system and the path in it; Spark's names of the S3 connector (s3a, s3n) are Arrow's s3. Local names are taken as they stand."""
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     path = re.sub(r"^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
