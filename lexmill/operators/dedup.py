@@ -73,8 +73,18 @@ def clean_unique(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def counters(df: DataFrame) -> DataFrame:
-    """Of flagged rows, by source: how many there are, are blocked, are repeats (of rows not blocked, all sources together), stay."""
-    ranked = df.where("not blocked").withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("place", "ord", "target_index")))
-    kept = ranked.groupBy("source").agg(F.sum((F.col("__n") == 1).cast("long")).alias("kept"), F.sum((F.col("__n") > 1).cast("long")).alias("repeats"))
-    all_rows = df.groupBy("source").agg(F.count("*").alias("n_targets"), F.sum(F.col("blocked").cast("long")).alias("n_blocked"))
-    return all_rows.join(kept, "source", "left").select("source", "n_targets", "n_blocked", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("repeats", "kept")])
+    """Of flagged rows, by source: how many there are, are blocked, are repeats (of rows not blocked, all sources together), stay.
+
+    Counted by id and source first, before the shuffle, so an id that any number of rows have is a row a task; then the
+    source of an id's first row not blocked keeps one, and all others are repeats.
+    """
+    clean = ~F.col("blocked")
+    each = df.groupBy("id", "source").agg(
+        F.count("*").alias("n"), F.count(F.when(~clean, 1)).alias("n_blocked"), F.min(F.when(clean, F.struct("place", "ord", "target_index"))).alias("first"),
+    )
+    of_id = each.groupBy("id").agg(  # a row for each source of the id
+        F.min_by("source", F.when(F.col("first").isNotNull(), F.struct("first", "source"))).alias("keeper"), F.collect_list(F.struct("source", "n", "n_blocked")).alias("parts")
+    )
+    parts = of_id.select("keeper", F.inline("parts")).withColumn("keeps", F.col("keeper").eqNullSafe(F.col("source")) & (F.col("n") > F.col("n_blocked")))
+    sums = parts.groupBy("source").agg(F.sum("n").alias("n_targets"), F.sum("n_blocked").alias("n_blocked"), F.count(F.when(F.col("keeps"), 1)).alias("kept"))
+    return sums.select("source", "n_targets", "n_blocked", (F.col("n_targets") - F.col("n_blocked") - F.col("kept")).alias("repeats"), "kept")

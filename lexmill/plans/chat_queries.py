@@ -9,6 +9,7 @@ from ..functions import chat, tokenize
 from ..functions import text as T
 from ..operators import dedup, packing, split
 from ..sources import chats
+from ..sources.shared import stored
 from . import sql as S
 
 QUERIES: dict = {}
@@ -205,8 +206,9 @@ ok AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place, ord, target_
 
 
 def flagged(spark, sf_dir) -> DataFrame:
-    t = targets(spark, sf_dir)
-    return dedup.flagged(t, ["source", "ord", "target_index"], dedup.user_text(F.col("prefix")), blocked(spark, sf_dir))
+    """Targets with their user texts and ids are written once, as are the blocked n-grams: both are needed several times."""
+    t = stored(targets(spark, sf_dir).select("source", "place", "ord", "target_index", "id", dedup.user_text(F.col("prefix")).alias("asked")), "targets")
+    return dedup.flagged(t, ["source", "ord", "target_index"], F.col("asked"), stored(blocked(spark, sf_dir), "blocked")).drop("asked")
 
 
 @query(f"WITH {BLOCKED} SELECT gram FROM blocked")
