@@ -112,8 +112,9 @@ def counters(samples: DataFrame, order: str = "pos", ignored: int = -100) -> Dat
     return running(counted, {k: f"n_{k}" for k in sizes}, order).select(order, *sizes)
 
 
-def last_loss(events: DataFrame, order: str = "ord") -> DataFrame:
-    """One row: the last record's eval_loss if it has one, else its loss, with four decimals, or ``not available``."""
-    last = events.agg(F.max_by(F.struct("eval_loss", "loss"), order).alias("r"))
+def last_loss(events: DataFrame, order: str = "ord", by: str | None = None) -> DataFrame:
+    """One row, or one for each value of ``by``: the last record's eval_loss if it has one, else its loss, with four decimals, or ``not available``."""
+    keys = [by] if by else []
+    last = events.groupBy(*keys).agg(F.max_by(F.struct("eval_loss", "loss"), order).alias("r"))
     value: Column = F.coalesce("r.eval_loss", "r.loss")
-    return last.select(F.when(value.isNull(), "not available").otherwise(F.format_string("%.4f", value)).alias("last_loss"))
+    return last.select(*keys, F.when(value.isNull(), "not available").otherwise(F.format_string("%.4f", value)).alias("last_loss"))

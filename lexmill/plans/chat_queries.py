@@ -28,22 +28,28 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MESSAGE = "array<struct<role: string, content: string>>"
-HAND = [
-    (0, [("Human", " hi "), ("gpt", "hello"), ("tool", "x")]),
-    (1, [("prompter", "q"), (" BOT ", "a"), ("system", "s")]),
-    (2, [("user", "  "), ("assistant", "a")]),
-    (3, [("user", "only")]),
-    (4, [("system", "be kind"), ("user", "one two"), ("assistant", "three"), ("user", "four"), ("assistant", " ")]),
-    (5, [("human", "q"), ("bot", "a")]),
-    (6, [(k, f"m{i}") for i in range(6) for k in ("user", "assistant")]),
-]
+def odd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as sources have them: roles in other words and cases, tool messages, blank contents, one message alone.
 
+    A message's place and its conversation's number say which of these it gets.
+    """
+    c = conversations(spark, sf_dir)
 
-def hand_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HAND, f"ord int, messages {MESSAGE}")
+    def odd(m, i):
+        k = F.col("conv_id") + i
+        other = F.when(m["role"] == "user", F.when(k % 3 == 0, "Human").when(k % 3 == 1, "prompter").otherwise("human")).when(m["role"] == "assistant", F.when(k % 3 == 0, " BOT ").when(k % 3 == 1, "gpt").otherwise("bot")).otherwise(m["role"])
+        role = F.when(k % 13 == 7, "tool").when(k % 5 < 3, m["role"]).otherwise(other)
+        return F.struct(role.alias("role"), F.when(k % 11 == 3, "  ").otherwise(F.concat(F.lit(" "), m["content"])).alias("content"))
 
+    whole = F.transform("conversation", odd)
+    return c.select(F.col("conv_id").cast("int").alias("ord"), F.when(F.col("conv_id") % 10 == 9, F.slice(whole, 1, 1)).otherwise(whole).cast(MESSAGE).alias("messages"))
 
-HAND_SQL = S.values([(i, [{"role": r, "content": c} for r, c in m]) for i, m in HAND], "ord, messages")
+
+_K = "(conv_id + i - 1)"
+ODD_SQL = f"""{S.CONVERSATIONS}, o AS (SELECT conv_id, list_transform(conversation, lambda m, i: struct_pack(role := CASE WHEN {_K} % 13 = 7 THEN 'tool' WHEN {_K} % 5 < 3 THEN m.role
+  WHEN m.role = 'user' THEN CASE {_K} % 3 WHEN 0 THEN 'Human' WHEN 1 THEN 'prompter' ELSE 'human' END WHEN m.role = 'assistant' THEN CASE {_K} % 3 WHEN 0 THEN ' BOT ' WHEN 1 THEN 'gpt' ELSE 'bot' END ELSE m.role END,
+  content := CASE WHEN {_K} % 11 = 3 THEN '  ' ELSE ' ' || m.content END)) AS c FROM conv),
+h AS (SELECT conv_id::INT AS ord, CASE WHEN conv_id % 10 = 9 THEN c[1:1] ELSE c END AS messages FROM o)"""
 SHOWN = "to_json(list_transform({c}, lambda m: struct_pack(role := m.role, content := m.content)))::VARCHAR"
 
 
@@ -56,58 +62,69 @@ def _both(c: str) -> str:
     return " AND ".join(has.format(c=c, r=r, s=S.strip("m.content")) for r in ("user", "assistant"))
 
 
-@query(f"WITH h AS {HAND_SQL}, k AS (SELECT ord, {S.canonical('messages')} AS c FROM h) SELECT ord, {SHOWN.format(c='c')} AS conversation, {_both('c')} AS valid FROM k")
+@query(f"WITH {ODD_SQL}, k AS (SELECT ord, {S.canonical('messages')} AS c FROM h) SELECT ord, {SHOWN.format(c='c')} AS conversation, {_both('c')} AS valid FROM k")
 def chat_canonical(spark, sf_dir):
     """Canonical roles, stripped contents, no blank messages."""
-    out = hand_rows(spark).select("ord", chat.canonical(F.col("messages")).alias("c"))
+    out = odd_rows(spark, sf_dir).select("ord", chat.canonical(F.col("messages")).alias("c"))
     return out.select("ord", shown("c"), chat.valid(F.col("c")).alias("valid"))
 
 
-@query(f"WITH h AS {HAND_SQL}, k AS (SELECT ord, list_filter({S.canonical('messages')}, lambda m: m.role IN ('user', 'assistant', 'system')) AS c FROM h WHERE ord < 5) SELECT ord, {SHOWN.format(c='c')} AS conversation FROM k WHERE {_both('c')}")
+@query(f"WITH {ODD_SQL}, k AS (SELECT ord, list_filter({S.canonical('messages')}, lambda m: m.role IN ('user', 'assistant', 'system')) AS c FROM h WHERE ord < 50) SELECT ord, {SHOWN.format(c='c')} AS conversation FROM k WHERE {_both('c')}")
 def chat_broad_source(spark, sf_dir):
     """The limit counts rows before they are checked."""
-    out = chats.broad_source(hand_rows(spark), limit=5)
+    out = chats.broad_source(odd_rows(spark, sf_dir), limit=50)
     return out.select("ord", shown("conversation"))
 
 
-@query(f"WITH h AS {HAND_SQL}, k AS (SELECT ord, {S.canonical('messages', exact=True)} AS c FROM h) SELECT ord, {SHOWN.format(c='c')} AS conversation FROM k")
+@query(f"WITH {ODD_SQL}, k AS (SELECT ord, {S.canonical('messages', exact=True)} AS c FROM h) SELECT ord, {SHOWN.format(c='c')} AS conversation FROM k")
 def chat_source(spark, sf_dir):
     """Roles as they are written."""
-    return chats.conversation_source(hand_rows(spark)).select("ord", shown("conversation"))
+    return chats.conversation_source(odd_rows(spark, sf_dir)).select("ord", shown("conversation"))
 
 
-@query(f"""WITH h AS {HAND_SQL}, k AS (SELECT ord, list_filter(messages, lambda m: m.role IN ('user', 'assistant')) AS c FROM h),
-l AS (SELECT ord, c[1:8] AS c FROM k WHERE len(c) >= 2 ORDER BY ord LIMIT 2), w AS (SELECT ord, list_filter(c, lambda m: {S.strip('m.content')} <> '') AS c FROM l)
+@query(f"""WITH {ODD_SQL}, k AS (SELECT ord, list_filter(messages, lambda m: m.role IN ('user', 'assistant')) AS c FROM h),
+l AS (SELECT ord, c[1:8] AS c FROM k WHERE len(c) >= 2 ORDER BY ord LIMIT 20), w AS (SELECT ord, list_filter(c, lambda m: {S.strip('m.content')} <> '') AS c FROM l)
 SELECT ord, {SHOWN.format(c='c')} AS conversation FROM w WHERE len(c) >= 2 AND len(list_filter(c, lambda m: m.role = 'assistant')) > 0""")
 def chat_short_source(spark, sf_dir):
     """The limit counts accepted rows before the last check."""
-    return chats.short_source(hand_rows(spark), 2).select("ord", shown("conversation"))
-
+    return chats.short_source(odd_rows(spark, sf_dir), 20).select("ord", shown("conversation"))
 
-PAIRS = [(0, "Sum up.", "A text.", "Short."), (1, "Hello", " ", "Hi"), (2, "Hello", None, "Hi"), (3, "  ", "x", "y"), (4, "Ask", "", "\t"), (5, " Trim me ", "", " ok ")]
 
-
-@query(f"""WITH p AS {S.values(PAIRS, 'ord, instruction, context, response')}
+@query(f"""WITH t AS (SELECT conv_id::INT AS ord, max(text) FILTER (turn = 0) AS q, max(text) FILTER (turn = 1) AS r, max(text) FILTER (turn = 2) AS x FROM conversations GROUP BY 1),
+p AS (SELECT ord, CASE WHEN ord % 7 = 3 THEN '  ' ELSE ' ' || q || ' ' END AS instruction, CASE WHEN ord % 5 = 1 THEN ' ' ELSE x END AS context, CASE WHEN ord % 9 = 4 THEN chr(9) ELSE r || ' ' END AS response FROM t WHERE q IS NOT NULL AND r IS NOT NULL)
 SELECT ord, {SHOWN.format(c="[struct_pack(role := 'user', content := u), struct_pack(role := 'assistant', content := a)]")} AS conversation
 FROM (SELECT ord, {S.strip("instruction || CASE WHEN coalesce(" + S.strip('context') + ", '') = '' THEN '' ELSE chr(10) || chr(10) || 'Context:' || chr(10) || context END")} AS u, {S.strip('response')} AS a
   FROM p WHERE {S.strip('instruction')} <> '' AND {S.strip('response')} <> '')""")
 def instruction_source(spark, sf_dir):
-    """Instructions with a titled context."""
-    rows = spark.createDataFrame(PAIRS, "ord int, instruction string, context string, response string")
+    """Instructions with a titled context; the first three turns of each conversation, some of them blank."""
+    turn = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").cast("int").alias("ord")).agg(turn(0).alias("q"), turn(1).alias("r"), turn(2).alias("x"))
+    k, sp = F.col("ord"), F.lit(" ")
+    rows = t.where("q is not null and r is not null").select(
+        "ord", F.when(k % 7 == 3, "  ").otherwise(F.concat(sp, "q", sp)).alias("instruction"), F.when(k % 5 == 1, " ").otherwise(F.col("x")).alias("context"), F.when(k % 9 == 4, "\t").otherwise(F.concat("r", sp)).alias("response")
+    )
     return chats.instruction_source(rows, "Context").select("ord", shown("conversation"))
 
 
-CHOICES = [(0, " Which? ", ["one ", "two"], ["A", "B"], " b"), (1, "What?", ["x", "y", "z"], ["1", "2", "3"], "3")]
 AS_PAIR = SHOWN.format(c="[struct_pack(role := 'user', content := u), struct_pack(role := 'assistant', content := a)]")
 
 
-@query(f"""WITH c AS {S.values(CHOICES, 'ord, question, choices, labels, answer')}, p AS (SELECT *, list_position(list_transform(labels, lambda x: upper(trim(x))), upper(trim(answer))) AS i FROM c),
+@query(f"""WITH b AS (SELECT item_id::INT AS ord, {S.words('text')} AS w FROM benchmark),
+c AS (SELECT ord, ' ' || array_to_string(w[1:5], ' ') || '? ' AS question, [w[6] || ' ', w[7], w[8]] AS choices, CASE WHEN ord % 2 = 0 THEN ['A', 'B', 'C'] ELSE ['1', '2', '3'] END AS labels, CASE WHEN ord % 2 = 0 THEN ' b' ELSE (ord % 3 + 1)::VARCHAR END AS answer FROM b WHERE len(w) >= 8),
+p AS (SELECT *, list_position(list_transform(labels, lambda x: upper(trim(x))), upper(trim(answer))) AS i FROM c),
 e AS (SELECT ord, {S.strip("'Choose the correct answer and explain briefly.' || chr(10) || 'Question: ' || question || chr(10) || array_to_string(list_transform(list_zip(labels, choices), lambda x: x[1] || '. ' || x[2]), chr(10))")} AS u,
   {S.strip("'The correct answer is ' || labels[i] || ': ' || choices[i] || '.'")} AS a FROM p)
 SELECT ord, {AS_PAIR} AS conversation FROM e""")
 def choice_source(spark, sf_dir):
-    """Choices under the source's labels and an answer in words."""
-    rows = spark.createDataFrame(CHOICES, "ord int, question string, choices array<string>, labels array<string>, answer string")
+    """Choices under the source's labels and an answer in words; each text of the benchmark gives a question and three words to choose from."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("int").alias("ord"), "text")
+    w = T.once(b, w=T.words(F.col("text"))).where(F.size("w") >= 8)
+    even, word = F.col("ord") % 2 == 0, lambda i: F.element_at("w", i)
+    texts = lambda *xs: F.array(*map(F.lit, xs))
+    rows = w.select(
+        "ord", F.concat(F.lit(" "), F.array_join(F.slice("w", 1, 5), " "), F.lit("? ")).alias("question"), F.array(F.concat(word(6), F.lit(" ")), word(7), word(8)).alias("choices"),
+        F.when(even, texts("A", "B", "C")).otherwise(texts("1", "2", "3")).alias("labels"), F.when(even, " b").otherwise((F.col("ord") % 3 + 1).cast("string")).alias("answer"),
+    )
     return chats.choice_source(rows).select("ord", shown("conversation"))
 
 
@@ -129,6 +146,12 @@ def problem_source(spark, sf_dir):
     return chats.problem_source(rows.where("problem is not null and solution is not null")).select("ord", shown("conversation"))
 
 
+def unasked(spark, sf_dir, pairs: DataFrame) -> DataFrame:
+    """The pairs whose question no user message of the conversations is, but for case."""
+    asked = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user' and text is not null").select(F.lower("text").alias("__asked")).distinct()
+    return pairs.join(asked, F.lower("user") == F.col("__asked"), "left_anti")
+
+
 REPAIR = [(g, chats.GREETED) for g in chats.GREETINGS] + chats.OTHERS
 
 
@@ -137,16 +160,16 @@ UNION ALL SELECT 'what is ' || a || '-' || b, a || '-' || b || ' is ' || (a - b)
 UNION ALL SELECT * FROM {S.values(REPAIR, 'u, a')}
 UNION ALL SELECT 'what is the capital of ' || k || '?', 'The capital of ' || country || ' is ' || capital || '.' FROM {S.values([(k, *v) for k, v in chats.CAPITALS.items()], 'k, country, capital')}
 UNION ALL SELECT replace(p, '@', k), v FROM {S.values(list(chats.CONCEPTS.items()), 'k, v')}, (VALUES ('what is a @'), ('What is a @?'), ('Explain what a @ is.')) AS w(p))
-SELECT "user", assistant, r::INT AS repeat FROM s, range(2) t(r)""")
+SELECT "user", assistant, r::INT AS repeat FROM s, range(2) t(r) WHERE lower("user") NOT IN (SELECT lower(text) FROM conversations WHERE role = 'user' AND text IS NOT NULL)""")
 def repair_table(spark, sf_dir):
-    """Fixed pairs, sums and differences, capitals and concepts, repeated."""
-    return chats.repair(spark, 2)
+    """Fixed pairs, sums and differences, capitals and concepts, repeated; those that the conversations ask already stay out."""
+    return unasked(spark, sf_dir, chats.repair(spark, 2))
 
 
 @query(None)
 def logic_table(spark, sf_dir):
-    """Generated questions with operands from a hash, and fixed pairs."""
-    return chats.logic(spark, 40)
+    """Generated questions with operands from a hash, and fixed pairs; those that the conversations ask already stay out."""
+    return unasked(spark, sf_dir, chats.logic(spark, 40))
 
 
 # ---- targets ----
@@ -292,13 +315,20 @@ def fitting_history(spark, sf_dir):
     return kept.select("conv_id", F.size("k").alias("n_messages"), F.get("k", F.lit(0))["content"].alias("first"))
 
 
-REPLIES = [(0, "fine <eos> more"), (1, "a\nUser: b<pad>"), (2, "x<bos>y<eos>z"), (3, "  plain \n"), (4, ""), (5, "User: stays\nAssistant: goes")]
+#: What stands in the middle of a reply, by its number; fixed: the markers that a reply is cut at.
+STOPS = ["<eos> more", "\nUser: b<pad>", "<bos>y<eos>", "  plain \n", "", "\nAssistant: goes"]
+_STOP = "CASE conv_id % 6 " + " ".join(f"WHEN {i} THEN {S.literal(x)}" for i, x in enumerate(STOPS)) + " END"
 
 
-@query(f"""WITH r AS {S.values(REPLIES, 'ord, text')} SELECT ord, {S.strip("string_split(string_split(string_split(string_split(string_split(text, '<eos>')[1], '<pad>')[1], '<bos>')[1], chr(10) || 'User:')[1], chr(10) || 'Assistant:')[1]")} AS reply FROM r""")
+@query(f"""WITH r AS (SELECT conv_id, turn, left(text, length(text) // 2) || {_STOP} || substr(text, length(text) // 2 + 1) AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+SELECT conv_id, turn, {S.strip("string_split(string_split(string_split(string_split(string_split(text, '<eos>')[1], '<pad>')[1], '<bos>')[1], chr(10) || 'User:')[1], chr(10) || 'Assistant:')[1]")} AS reply FROM r""")
 def clean_replies(spark, sf_dir):
-    """Replies cut at stop markers."""
-    return spark.createDataFrame(REPLIES, "ord int, text string").select("ord", chat.clean_reply(F.col("text")).alias("reply"))
+    """Replies cut at stop markers, which are put into the middle of every assistant message."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant' and text is not null")
+    half = F.floor(F.length("text") / 2).cast("int")
+    stop = F.element_at(F.array(*map(F.lit, STOPS)), (F.col("conv_id") % 6).cast("int") + 1)
+    whole = F.concat(F.substring("text", F.lit(1), half), stop, F.substring("text", half + 1, F.length("text")))
+    return c.select("conv_id", "turn", chat.clean_reply(whole).alias("reply"))
 
 
 @query(f"WITH d AS (SELECT doc_id, {S.words('text')} AS w FROM documents) SELECT doc_id, array_to_string(['<s>'] || w[greatest(len(w) - 30, 0) + 1:], ' ') AS tokens FROM d")

@@ -199,13 +199,20 @@ def stream(spark, sf_dir) -> tuple[DataFrame, int]:
 FLAT = f"{COUNTED}, {STARTS}, s AS (SELECT (source_start + through - n)::BIGINT AS start, ids[1:taken::INT] AS ids FROM cut JOIN st USING (source)), tok AS (SELECT start + i - 1 AS p, ids[i] AS t FROM s, unnest(range(1, len(ids) + 1)) AS u(i))"
 
 
-@query(f"""WITH {FLAT} SELECT (p // 100000)::INT AS part, count(*) AS n_tokens, min(p)::BIGINT AS first, sum(length(t))::BIGINT AS total, sum(length(t) * (p % 1009))::BIGINT AS placed FROM tok GROUP BY 1""")
+ID = "('0x' || substr(md5(t), 1, 4))::BIGINT"
+
+
+def token_id(token):
+    """16 bits of a token's MD5."""
+    return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int")
+
+
+@query(f"""WITH {FLAT} SELECT (p // 100000)::INT AS part, count(*) AS n_tokens, min(p)::BIGINT AS first, sum({ID})::BIGINT AS total, sum({ID} * (p % 1009))::BIGINT AS placed FROM tok GROUP BY 1""")
 def token_binary_parts(spark, sf_dir):
-    """The stream written as 16-bit parts of 100,000 tokens and read back; a token's id is its length."""
+    """The stream written as 16-bit parts of 100,000 tokens and read back; a token's id is 16 bits of its MD5."""
     tokens, total = stream(spark, sf_dir)
-    lengths = tokens.select("start", F.transform("ids", lambda t: F.length(t)).alias("ids"))
     folder = shared_path(spark, "tokens")
-    files.write_token_binary(lengths, folder, total, [{"source": "documents"}], "lengths", items=100_000)
+    files.write_token_binary(tokens.select("start", F.transform("ids", token_id).alias("ids")), folder, total, [{"source": "documents"}], "md5", items=100_000)
     read = files.token_binary(spark, folder).select(F.regexp_extract("name", r"(\d+)\.bin", 1).cast("int").alias("part"), "start", F.posexplode("ids").alias("i", "id"))
     place = F.col("part").cast("long") * 100_000 + F.col("start") + F.col("i")
     return read.groupBy("part").agg(F.count("*").alias("n_tokens"), F.min(place).alias("first"), F.sum("id").alias("total"), F.sum(F.col("id") * (place % 1009)).alias("placed"))
@@ -252,27 +259,39 @@ def full_batches(spark, sf_dir):
 
 
 # ---- samples, holdouts, permutations ----
-SIZE, HELD = 12_345, 123
-A, B = split.permutation(SIZE, 7, 1)
+# A window is a document here: a fiftieth of the table is held out.
+N = "(SELECT count(*) AS size, count(*) // 50 AS held FROM documents)"
+HELD = f"SELECT ((2 * i + 1) * size) // (2 * held) AS w FROM {N} n, range(10000) t(i) WHERE i < held"
 
 
-@query(f"SELECT ((2 * i + 1) * {SIZE}) // (2 * {HELD}) AS \"window\" FROM range({HELD}) t(i)")
+def sizes(spark, sf_dir) -> tuple[int, int]:
+    n = documents(spark, sf_dir, "doc_id").count()
+    return n, n // 50
+
+
+@query(f'SELECT w AS "window" FROM ({HELD})')
 def holdout_windows(spark, sf_dir):
     """Held-out windows at the middles of equal parts."""
-    return split.midpoints(spark, SIZE, HELD)
+    return split.midpoints(spark, *sizes(spark, sf_dir))
 
 
-@query(f"""WITH h AS (SELECT ((2 * i + 1) * {SIZE}) // (2 * {HELD}) AS w FROM range({HELD}) t(i))
-SELECT i AS "window", row_number() OVER (ORDER BY i) - 1 AS place FROM range({SIZE}) t(i) WHERE i NOT IN (SELECT w FROM h)""")
+@query(f"""WITH h AS ({HELD}), p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT i AS "window", row_number() OVER (ORDER BY i) - 1 AS place FROM p WHERE i NOT IN (SELECT w FROM h)""")
 def training_windows(spark, sf_dir):
     """The other windows, numbered anew."""
-    return split.without_holdout(spark, SIZE, HELD)
+    return split.without_holdout(spark, *sizes(spark, sf_dir))
+
+
+#: The permutations of tables of these sizes, which the SQL cannot draw.
+DRAWN = ", ".join(f"({n}, {a}, {b})" for n in (200, 1_000, 10_000) for a, b in [split.permutation(n, 7, 1)])
 
 
-@query(f"SELECT i AS place, ({A}::BIGINT * i + {B}) % {SIZE} AS item FROM range(100, {SIZE}) t(i)")
+@query(f"""WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS size FROM documents)
+SELECT i AS place, (a::BIGINT * i + b) % p.size AS item FROM p JOIN (VALUES {DRAWN}) AS t(size, a, b) ON p.size = t.size WHERE i >= 100""")
 def permutation_from(spark, sf_dir):
-    """An affine permutation, from place 100 on."""
-    return split.permuted(spark, SIZE, A, B, 100)
+    """An affine permutation of the table's places, from place 100 on."""
+    n = documents(spark, sf_dir, "doc_id").count()
+    return split.permuted(spark, n, *split.permutation(n, 7, 1), 100)
 
 
 #: The sample's places in tables of these sizes: what the SQL, which cannot draw it, is given.

@@ -14,7 +14,7 @@ from ..sources.arrival import arrived
 from ..sources.shared import shared_path
 from . import sql as S
 from . import validation
-from .document_queries import FLAT, stream
+from .document_queries import FLAT, ID, stream, token_id
 
 QUERIES: dict = {}
 
@@ -111,14 +111,17 @@ def shard_manifest(spark, sf_dir):
     return named.join(counts, "shard").select("shard", "n_lines", "bytes", "sha256")
 
 
-@query(f"""WITH {FLAT} SELECT 'tokens-' || lpad((p // 100000)::VARCHAR, 6, '0') || '.bin' AS name, count(*) AS tokens, (2 * count(*))::BIGINT AS bytes, min(length(t))::BIGINT AS least,
-  max(length(t))::BIGINT AS most, count(*) FILTER (length(t) >= 16) AS outside, count(*) FILTER (length(t) >= 16) > 0 AS wrong FROM tok GROUP BY 1""")
+VOCABULARY = 65_000
+
+
+@query(f"""WITH {FLAT}, i AS (SELECT p, {ID} AS id FROM tok) SELECT 'tokens-' || lpad((p // 100000)::VARCHAR, 6, '0') || '.bin' AS name, count(*) AS tokens, (2 * count(*))::BIGINT AS bytes, min(id)::BIGINT AS least,
+  max(id)::BIGINT AS most, count(*) FILTER (id >= {VOCABULARY}) AS outside, count(*) FILTER (id >= {VOCABULARY}) > 0 AS wrong FROM i GROUP BY 1""")
 def token_part_scan(spark, sf_dir):
-    """V1, V2: every id of a written token binary is read by tasks; parts with ids outside a vocabulary of 16 are named as wrong."""
+    """V1, V2: every id of a written token binary is read by tasks; parts with ids outside of a vocabulary of 65,000 are named as wrong."""
     tokens, total = stream(spark, sf_dir)
     folder = shared_path(spark, "scanned")
-    files.write_token_binary(tokens.select("start", F.transform("ids", lambda t: F.length(t)).alias("ids")), folder, total, [{"source": "documents"}], "lengths", items=100_000)
-    scanned = validation.scan_parts(spark, folder, vocabulary=16)
+    files.write_token_binary(tokens.select("start", F.transform("ids", token_id).alias("ids")), folder, total, [{"source": "documents"}], "md5", items=100_000)
+    scanned = validation.scan_parts(spark, folder, VOCABULARY)
     errors = validation.token_part_errors(scanned, validation.part_table(spark, total, 100_000)).select("name").distinct().withColumn("wrong", F.lit(True))
     return scanned.join(errors, "name", "left").select("name", "tokens", "bytes", "least", "most", "outside", F.coalesce("wrong", F.lit(False)).alias("wrong"))
 
