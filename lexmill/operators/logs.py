@@ -71,18 +71,20 @@ def progress(train: DataFrame, restart: int, max_steps: int, recent: int = 500)
     )
 
 
-def running_best(validation: DataFrame) -> DataFrame:
-    """``validation`` with ``improved``: a loss below all before it."""
-    best = F.min("loss").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+def running_best(validation: DataFrame, by: str | None = None) -> DataFrame:
+    """``validation`` with ``improved``: a loss below all before it, in each series of ``by`` where given."""
+    keys = [by] if by else []
+    best = F.min("loss").over(Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
     return validation.withColumn("improved", best.isNull() | (F.col("loss") < best))
 
 
-def failures(steps: DataFrame, most: int = 10) -> DataFrame:
-    """``steps`` (step, ok) with ``failed``: steps in a row that failed so far, and ``abort`` once there are ``most``."""
-    w = Window.orderBy("step")
+def failures(steps: DataFrame, most: int = 10, by: str | None = None) -> DataFrame:
+    """``steps`` (step, ok) with ``failed``: steps in a row that failed so far, and ``abort`` once there are ``most``; in each series of ``by`` where given."""
+    keys = [by] if by else []
+    w = Window.partitionBy(*keys).orderBy("step")
     island = F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = steps.withColumn("__island", island)
-    failed = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(Window.partitionBy("__island").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    failed = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(Window.partitionBy(*keys, "__island").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("failed", F.when(F.col("ok"), 0).otherwise(failed).cast("long")).withColumn("abort", F.col("failed") >= most).drop("__island")
 
 

@@ -79,6 +79,26 @@ def extract_all_joined(spark, sf_dir):
     return out.where(F.length("text") >= 120)
 
 
+@query(f"""WITH o AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN chr(160) WHEN 1 THEN text END AS text, lang, text AS raw FROM documents),
+e AS (SELECT doc_id, CASE WHEN coalesce({S.strip('text')}, '') <> '' THEN {S.strip('text')} WHEN length(lang) > 200 THEN lang WHEN length(raw) > 200 THEN raw ELSE '' END AS t FROM o),
+n AS (SELECT doc_id, left({S.collapse("translate(t, chr(0), ' ')")}, 12000) AS text FROM e) SELECT doc_id, text FROM n WHERE length(text) >= 120""")
+def extract_other_field(spark, sf_dir):
+    """Where all known fields are blank or missing, the first other field of more than 200 characters."""
+    k = F.col("doc_id") % 3
+    d = documents(spark, sf_dir, "doc_id", "text", "lang").select("doc_id", F.when(k == 0, "\u00a0").when(k == 1, F.col("text")).alias("text"), "lang", F.col("text").alias("raw"))
+    joined = T.all_joined([F.col("text")], [F.col("lang"), F.col("raw")])
+    return T.once(d, text=T.normalized(joined, 12_000)).select("doc_id", "text").where(F.length("text") >= 120)
+
+
+@query(f"""WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, text FROM documents WHERE text <> '')
+SELECT doc_id, sha256(replace(text, chr(10), ' ')) AS flat FROM t WHERE i <= 500""")
+def tokenizer_sample(spark, sf_dir):
+    """Of a tokenizer's corpus the first 500 texts, newlines as spaces; empty ones do not count."""
+    d = documents(spark, sf_dir, "doc_id", "text").where("text <> ''").withColumn("one", F.lit(1).cast("long"))
+    ranked = quota.running(d, "one", "doc_id", ordered=documents(spark, sf_dir, "doc_id")).where("through <= 500")
+    return ranked.select("doc_id", F.sha2(T.one_line(F.col("text")), 256).alias("flat"))
+
+
 @query("SELECT doc_id, sha256(text || chr(10)) AS line, sha256(replace(text, chr(10), ' ')) AS flat FROM documents")
 def corpus_lines(spark, sf_dir):
     """Lines of tokenizer corpora (the fixtures hold no NUL)."""

@@ -12,6 +12,7 @@ from ..operators.sampler import Sampler
 from ..sources import commit, files, indexed
 from ..sources.arrival import arrived
 from ..sources.shared import shared_path
+from ..streaming import logs as arriving_logs
 from . import sql as S
 from . import validation
 from .document_queries import FLAT, ID, stream, token_id
@@ -137,3 +138,17 @@ def stored_upsert(spark, sf_dir):
     known = labels.join(rows.select("doc_id"), "doc_id", "left_semi")
     commit.upsert(known.select("doc_id", F.lit("labelled").alias("source"), F.coalesce("toxic", F.lit(0)).cast("long").alias("n_chars")), folder, ["doc_id"])
     return commit.read(spark, folder)
+
+
+@query("""WITH r AS (SELECT event_type AS run, event_id // 2 * 2 AS step, event_id AS ord, value AS loss FROM events), l AS (SELECT run, step, arg_max(loss, ord) AS loss FROM r GROUP BY 1, 2)
+SELECT run, step, loss, coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS improved FROM l""")
+def arriving_logs_bests(spark, sf_dir):
+    """D4, W14 over arriving files: events as validations of five runs, each step logged twice, in files that come late and twice."""
+    folder = shared_path(spark, "logs")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null")
+    k = F.col("event_id")
+    rows = e.select(F.col("event_type").alias("run"), k.alias("ord"), F.lit("validation").alias("type"), (F.floor(k / 2) * 2).alias("step"), F.col("value").alias("loss"), F.lit(True).alias("ok"))
+    for turn in (1, 0, 1):  # by a hash, so steps come in any order, and half of them again
+        rows.where(F.pmod(F.xxhash64("ord"), F.lit(2)) == turn).write.mode("append").json(f"{folder}/in")
+        arriving_logs.follow(arriving_logs.records(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return commit.read(spark, f"{folder}/out/bests").select("run", "step", "loss", "improved")

@@ -16,6 +16,7 @@ from lexmill.operators.sampler import Sampler, sampled
 from lexmill.plans import validation
 from lexmill.sources import commit, files, indexed
 from lexmill.sources.arrival import arrived
+from lexmill.streaming import logs as arriving_logs
 
 
 # ---- arrival ----
@@ -299,3 +300,35 @@ def test_training_is_checked_before_it_starts(spark, tmp_path):
     assert validation.completion_errors(spark, at, 10) == ["step is 9, not 10"]
     commit.put_json(spark, f"{tmp_path}/run.json", {"step": 10, "max_steps": 10})
     assert validation.completion_errors(spark, at, 10) == []
+
+
+# ---- arriving logs ----
+def test_a_stream_of_logs_agrees_with_the_batch(spark, tmp_path):
+    """Late, repeated and broken lines, corrections of old steps, and a restart between files."""
+    draw = random.Random(8)
+    lines = [{"run": draw.choice("ab"), "ord": i, "type": draw.choice(["train", "train", "validation", "other"]), "step": draw.randrange(25), "loss": draw.choice([round(draw.random(), 3), None]), "ok": draw.choice([True, False, False, None])} for i in range(240)]
+    parts = [lines[k::2] for k in (1, 0)] + [lines[:40] + [{"run": "a", "ord": 999, "type": "validation", "step": 0, "loss": 0.0001, "ok": None}]]
+    folder, out = tmp_path / "in", f"{tmp_path}/out"
+    folder.mkdir()
+    for i, part in enumerate(parts):
+        (folder / f"{9 - i}.jsonl").write_text("\n".join(map(json.dumps, part)) + "\n{broken\n\n")
+        arriving_logs.follow(arriving_logs.records(spark, str(folder)), out, f"{tmp_path}/c").awaitTermination()
+    last = {}
+    for r in sorted((r for p in parts for r in p if r["type"] != "other"), key=lambda r: r["ord"]):
+        last[r["run"], r["type"], r["step"]] = (r["ord"], r["loss"], r["ok"])
+    got = {(r.run, r.type, r.step): (r.ord, r.loss, r.ok) for r in commit.read(spark, f"{out}/latest").collect()}
+    assert got == last
+    bests, streaks = {}, {}
+    for run in "ab":
+        least, failed = None, 0
+        for step in range(25):
+            if (run, "validation", step) in last:
+                loss = last[run, "validation", step][1]
+                bests[run, step] = (loss, loss is not None and (least is None or loss < least))
+                least = min((x for x in (least, loss) if x is not None), default=None)
+            if (run, "train", step) in last:
+                ok = last[run, "train", step][2] is not False
+                failed = 0 if ok else failed + 1
+                streaks[run, step] = (ok, failed, failed >= 10)
+    assert {(r.run, r.step): (r.loss, r.improved) for r in commit.read(spark, f"{out}/bests").collect()} == bests
+    assert {(r.run, r.step): (r.ok, r.failed, r.abort) for r in commit.read(spark, f"{out}/streaks").collect()} == streaks
