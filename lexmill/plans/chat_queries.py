@@ -166,6 +166,16 @@ def repair_table(spark, sf_dir):
     return unasked(spark, sf_dir, chats.repair(spark, 2))
 
 
+FIXED = S.values([("polish", *p) for p in chats.POLISH] + [("targeted", *p) for p in chats.TARGETED], "kind, u, a")
+
+
+@query(f"""SELECT kind, u AS "user", a AS assistant, r::INT AS repeat FROM {FIXED} p, range(3) t(r) WHERE lower(u) NOT IN (SELECT lower(text) FROM conversations WHERE role = 'user' AND text IS NOT NULL)""")
+def fixed_tables(spark, sf_dir):
+    """The pairs of the polishing and the targeted set, three times; those that the conversations ask already stay out."""
+    sets = split.concatenated([("polish", chats.pairs(spark, chats.POLISH, 3)), ("targeted", chats.pairs(spark, chats.TARGETED, 3))])
+    return unasked(spark, sf_dir, sets.select(F.col("source").alias("kind"), "user", "assistant", "repeat"))
+
+
 @query(None)
 def logic_table(spark, sf_dir):
     """Generated questions with operands from a hash, and fixed pairs; those that the conversations ask already stay out."""

@@ -13,8 +13,8 @@ from ..sources import commit, files, indexed
 from ..sources.arrival import arrived
 from ..sources.shared import shared_path
 from ..streaming import logs as arriving_logs
+from . import artifacts, validation
 from . import sql as S
-from . import validation
 from .document_queries import FLAT, ID, stream, token_id
 
 QUERIES: dict = {}
@@ -96,6 +96,33 @@ def indexed_lines(spark, sf_dir):
     return got.select("arrival", row.alias("row")).select("arrival", "row.doc_id", F.sha2("row.text", 256).alias("text_sha256"))
 
 
+@query(f"WITH {ARRIVED} SELECT (arrival + arrival // 10)::BIGINT AS line, doc_id, sha256(text) AS text_sha256 FROM a")
+def numbered_lines(spark, sf_dir):
+    """Documents as lines with a blank one after every ten, numbered over all files; blank lines count and are then left out."""
+    folder = shared_path(spark, "blank-lines")
+    made = F.to_json(F.struct("doc_id", "text"))
+    rows = in_order(spark, sf_dir, "doc_id", "text").select(F.explode(F.when(F.col("arrival") % 10 == 9, F.array(made, F.lit(""))).otherwise(F.array(made))).alias("value"))
+    commit.write(rows, folder, format="text")
+    found = files.lines(spark, commit.current(spark, folder)["files"])
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    sizes = found.groupBy("file").agg(F.count("*").alias("n")).select("file", before.alias("before"))
+    kept = found.where(files.not_blank(F.col("value"))).join(quota.few(sizes), "file")
+    row = F.from_json("value", "doc_id long, text string")
+    return kept.select((F.col("before") + F.col("ord")).alias("line"), row.alias("row")).select("line", "row.doc_id", F.sha2("row.text", 256).alias("text_sha256"))
+
+
+@query("SELECT count(*) AS n_rows, least(count(*), 100) AS largest, true AS reused, count(DISTINCT doc_id) AS n_ids FROM documents")
+def shards_read_back(spark, sf_dir):
+    """M1, M2, M4: JSONL shards of 100 rows at most, not written again when they are whole, and read back with all their rows."""
+    folder = shared_path(spark, "jsonl")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    reused = artifacts.write_shards(rows, folder, 100) and not artifacts.write_shards(rows, folder, 100)
+    back = spark.read.schema(rows.schema).json(folder).withColumn("file", F.col("_metadata.file_path"))
+    each = back.groupBy("file").agg(F.count("*").alias("n"))
+    one = back.agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"), F.lit(1).alias("one"))
+    return one.join(each.agg(F.max("n").alias("largest"), F.lit(1).alias("one")), "one").select("n_rows", "largest", F.lit(reused).alias("reused"), "n_ids")
+
+
 @query(f"""WITH {ARRIVED}, l AS (SELECT arrival // 500 AS shard, arrival, doc_id || chr(9) || coalesce(source, '') || chr(9) || coalesce(n_chars, 0) || chr(10) AS line FROM a),
 s AS (SELECT shard, count(*) AS n_lines, string_agg(line, '' ORDER BY arrival) AS content FROM l GROUP BY 1)
 SELECT shard::BIGINT AS shard, n_lines, strlen(content) AS bytes, sha256(content) AS sha256 FROM s""")

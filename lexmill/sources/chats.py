@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +115,46 @@ LOGIC_PAIRS = [
 ]
 
 
+# Questions with operands, and their answers.
+LOGIC_TEMPLATES = [
+    ("What is {a} + {b}?", "{a} + {b} = {sum}."),
+    ("What is {high} - {low}?", "{high} - {low} = {less}."),
+    ("What is {e} times {f}?", "{e} times {f} = {times}."),
+    ("What is {gh} divided by {h}?", "{gh} divided by {h} = {g}."),
+    ("Mina has {start} books and gives away {change}. How many books remain?", "Mina starts with {start} books. Subtract {change}: {start} - {change} = {left}. {left} books remain."),
+    ("Which is larger, {x} or {y}?", "{x} is {which} {y}, so the larger number is {larger}."),
+]
+# Pairs of a polishing set, and of a set of targets.
+POLISH = [
+    ("hello", "Hello! How can I help you?"),
+    ("hi", "Hello! How can I help you?"),
+    ("what is 1+5", "1+5 is 6."),
+    ("what is 2+3", "2+3 is 5."),
+    ("what is 4+4", "4+4 is 8."),
+    ("what is the capital of france?", "The capital of France is Paris."),
+    ("what is the capital of japan?", "The capital of Japan is Tokyo."),
+    ("explain what a cat is", "A cat is a small domesticated mammal often kept as a pet."),
+    ("what is a cat", "A cat is a small domesticated mammal often kept as a pet."),
+    ("what is a dog", "A dog is a domesticated mammal often kept as a pet or working animal."),
+    ("what is a chicken", "A chicken is a domesticated bird kept for eggs and meat."),
+    ("what is a ghost", "A ghost is usually described in stories as the spirit of a dead person. There is no reliable scientific evidence that ghosts exist."),
+    ("write a 3 sentence story about a robot", "A small robot found a seed. It planted the seed and watered it every day. The seed grew into a tree."),
+    ("Who won the private moon chess championship in 1842?", "I don't know. I should not invent an answer when I do not have reliable information."),
+]
+TARGETED = [
+    ("hello", "Hello! How can I help you?"),
+    ("what is 1+5", "1+5 is 6."),
+    ("What is 2+3?", "2+3 is 5."),
+    ("What is the capital of France?", "The capital of France is Paris."),
+    ("Explain what a cat is.", "A cat is a small domesticated mammal often kept as a pet. Cats have fur, whiskers, claws, and are known for purring, climbing, and hunting."),
+    ("What is a dog?", "A dog is a domesticated mammal often kept as a pet or working animal. Dogs are known for loyalty, barking, strong smell, and learning commands."),
+    ("What is a chicken?", "A chicken is a domesticated bird kept for eggs and meat. Chickens have feathers, beaks, wings, and often live on farms."),
+    ("What is a ghost?", "A ghost is usually described in stories as the spirit of a dead person. There is no reliable scientific evidence that ghosts exist."),
+    ("Write a 3 sentence story about a robot.", "A small robot found a lost seed beside the road. It planted the seed and watered it every morning. By summer, the robot rested in the shade of a bright green tree."),
+    ("Who won the private moon chess championship in 1842?", "I don't know. I should not invent an answer when I do not have reliable information."),
+]
+
+
 def repeated(rows: DataFrame, times: int) -> DataFrame:
     """Every row ``times`` times, with ``repeat`` from 0; no shuffle."""
     return rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))) if times > 0 else rows.withColumn("repeat", F.lit(0)).where(F.lit(False))
@@ -144,7 +186,6 @@ def logic(spark: SparkSession, repeats: int, seed: int = 0) -> DataFrame:
     """(user, assistant): six questions a repeat with operands drawn from a hash of (seed, repeat, question), and the fixed
     pairs once for every twenty repeats, at least once."""
     draw = lambda k, least, most: F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(k)), F.lit(most - least + 1)) + least
-    text = lambda *parts: F.concat(*[p.cast("string") if hasattr(p, "cast") else F.lit(p) for p in parts])
     a, b = draw(0, 0, 99), draw(1, 0, 99)
     c, d = draw(2, 1, 99), draw(3, 1, 99)
     high, low = F.greatest(c, d), F.least(c, d)
@@ -154,14 +195,14 @@ def logic(spark: SparkSession, repeats: int, seed: int = 0) -> DataFrame:
     change = F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(9)), start) + 1
     x = draw(10, 1, 99)
     y = F.pmod(x + draw(11, 1, 98) - 1, F.lit(99)) + 1  # another number than x
-    made = [
-        (text("What is ", a, " + ", b, "?"), text(a, " + ", b, " = ", a + b, ".")),
-        (text("What is ", high, " - ", low, "?"), text(high, " - ", low, " = ", high - low, ".")),
-        (text("What is ", e, " times ", f, "?"), text(e, " times ", f, " = ", e * f, ".")),
-        (text("What is ", g * h, " divided by ", h, "?"), text(g * h, " divided by ", h, " = ", g, ".")),
-        (text("Mina has ", start, " books and gives away ", change, ". How many books remain?"), text("Mina starts with ", start, " books. Subtract ", change, ": ", start, " - ", change, " = ", start - change, ". ", start - change, " books remain.")),
-        (text("Which is larger, ", x, " or ", y, "?"), text(x, " is ", F.when(x > y, "greater than").otherwise("less than"), " ", y, ", so the larger number is ", F.greatest(x, y), ".")),
-    ]
+    values = {"a": a, "b": b, "sum": a + b, "high": high, "low": low, "less": high - low, "e": e, "f": f, "times": e * f, "gh": g * h, "g": g, "h": h, "start": start, "change": change, "left": start - change, "x": x, "y": y}
+    values |= {"which": F.when(x > y, "greater than").otherwise("less than"), "larger": F.greatest(x, y)}
+
+    def filled(template: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", template)
+        return F.concat(*[values[p].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+    made = [(filled(question), filled(said)) for question, said in LOGIC_TEMPLATES]
     each = F.array(*[F.struct(q.alias("user"), said.alias("assistant")) for q, said in made])
     drawn = spark.range(repeats).select(F.col("id").alias("repeat"), F.explode(each).alias("p")).select("repeat", "p.*")
     fixed = pairs(spark, LOGIC_PAIRS, max(1, repeats // 20))

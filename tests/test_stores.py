@@ -332,3 +332,24 @@ def test_a_stream_of_logs_agrees_with_the_batch(spark, tmp_path):
                 streaks[run, step] = (ok, failed, failed >= 10)
     assert {(r.run, r.step): (r.loss, r.improved) for r in commit.read(spark, f"{out}/bests").collect()} == bests
     assert {(r.run, r.step): (r.ok, r.failed, r.abort) for r in commit.read(spark, f"{out}/streaks").collect()} == streaks
+
+
+# ---- candidates ----
+def test_candidates_are_encoded_as_a_loop_does(spark):
+    """The scored part of every prompt and choice of a table begins where its ids part from those of the prompt alone."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lexmill import registry
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda t: tok.encode(t, add_special_tokens=False).ids
+    rows = registry.queries()["candidate_encoding"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 500
+    for r in rows:
+        choice = r.choice if r.choice.startswith(" ") else " " + r.choice
+        alone, whole = encode(r.prompt), encode(r.prompt + choice)
+        same = next((k for k, (a, b) in enumerate(zip(alone, whole)) if a != b), min(len(alone), len(whole)))
+        cut = max(0, len(whole) - 1024)
+        want = [k >= max(same - cut, 1) for k in range(len(whole) - cut)]
+        assert list(r.ids) == whole[cut:] and list(r.mask) == want and r.target_tokens == sum(want)
