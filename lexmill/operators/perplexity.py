@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import stored
 from . import quota
 
 #: Digests that a node of a tree of digests joins, and its levels: together for up to 2^40 rows of a dataset.
@@ -48,7 +49,7 @@ def segment_sizes(rows: DataFrame, order: str, length: int, text: str = "text",
     """
     step = length - 1
     n = F.coalesce(F.regexp_count(text, F.lit(T.WORD)), F.lit(0)).cast("long")
-    counted = rows.select(key, order, n.alias("n")).where("n > 0").persist()  # numbers only; counted once for all steps of the sums
+    counted = stored(rows.select(key, order, n.alias("n")).where("n > 0"), "words")  # numbers only; counted once for all steps of the sums
     first = F.col("through") - F.col("n")
     reached = F.sequence(F.floor(first / step), F.floor((F.col("through") - 1) / step))
     pieces = quota.running(counted, "n", order, key).select(key, "through", first.alias("first"), F.explode(reached).alias("seg"))

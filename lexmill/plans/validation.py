@@ -182,3 +182,25 @@ def completion_errors(spark: SparkSession, checkpoint: str, expected_step: int)
     about = commit.get_json(spark, beside)
     step, last = int(about.get("step", -1)), int(about.get("max_steps", expected_step))
     return [f"{k} is {v}, not {expected_step}" for k, v in (("step", step), ("max_steps", last)) if v != expected_step]
+
+
+def ready(spark: SparkSession, config: dict, items: int) -> dict:
+    """What a training would start on: tokens and parts; raises ValueError with what is wrong if it must not start.
+
+    ``config`` has sections model (vocab_size), training, and data: train_bin, the folder of a token binary whose parts have
+    ``items`` tokens and beside which ``state.json`` lies. Sections, state, parts and every id are checked, and all errors said.
+    """
+    from ..sources import commit
+
+    folder, vocabulary = config["data"]["train_bin"], config["model"]["vocab_size"]
+    where = f"{folder.rstrip('/')}/state.json"
+    if not commit.exists(spark, where):
+        raise ValueError(f"missing: {where}")
+    state = commit.get_json(spark, where)
+    tokens, target = state.get("tokens", -1), state.get("target_tokens", -1)
+    wrong = [("config", e) for e in training_errors(config)]
+    wrong += [("state", f"{tokens} tokens, not {target}")] if tokens <= 0 or tokens != target else []
+    errors = spark.createDataFrame(wrong, "name string, error string")
+    parts = part_table(spark, max(target, 0), items)
+    require(errors.unionByName(token_part_errors(scan_parts(spark, folder, vocabulary), parts)))
+    return {"tokens": tokens, "parts": -(-target // items), "vocab_size": vocabulary}

@@ -21,9 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths given out by this process, by application.
+_given: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder. What is written there stays until ``clear``, or until the folder is cleared."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all that was written under paths of ``shared_path`` in this session, and says how many there were.
+
+    Results are read from these tables when they are used, so all must be saved or collected before.
+    """
+    gone = 0
+    for path in _given.pop(spark.sparkContext.applicationId, []):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        gone += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return gone
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

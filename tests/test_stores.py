@@ -353,3 +353,31 @@ def test_candidates_are_encoded_as_a_loop_does(spark):
         cut = max(0, len(whole) - 1024)
         want = [k >= max(same - cut, 1) for k in range(len(whole) - cut)]
         assert list(r.ids) == whole[cut:] and list(r.mask) == want and r.target_tokens == sum(want)
+
+
+def test_what_a_session_wrote_is_cleared(spark):
+    from lexmill.sources import shared
+
+    shared.clear(spark)
+    kept = shared.stored(spark.range(5), "some")
+    unused = shared.shared_path(spark, "none")
+    assert kept.count() == 5 and not commit.exists(spark, unused)
+    path = shared._given[spark.sparkContext.applicationId][0]
+    assert commit.exists(spark, path) and shared.clear(spark) == 1 and not commit.exists(spark, path) and shared.clear(spark) == 0
+
+
+def test_a_start_is_refused_with_all_that_is_wrong(spark, tmp_path):
+    stream = spark.range(25).select((F.col("id") * 10).alias("start"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i.cast("int")).alias("ids"))
+    folder = str(tmp_path / "t")
+    training = {"batch_size": 8, "gradient_accumulation_steps": 1, "learning_rate": 1e-4, "max_steps": 10, "save_steps": 5, "grad_clip": 1.0, "dtype": "float32"}
+    config = {"data": {"train_bin": folder}, "model": {"vocab_size": 10}, "training": training}
+    with pytest.raises(ValueError, match="missing"):
+        validation.ready(spark, config, 100)
+    files.write_token_binary(stream, folder, 250, [], "t", items=100)
+    assert validation.ready(spark, config, 100) == {"tokens": 250, "parts": 3, "vocab_size": 10}
+    (tmp_path / "t" / "tokens-000002.bin").unlink()
+    commit.put_json(spark, f"{folder}/state.json", {"tokens": 200, "target_tokens": 250})
+    with pytest.raises(ValueError) as error:
+        validation.ready(spark, {**config, "model": {"vocab_size": 9}, "training": {**training, "max_steps": 0}}, 100)
+    said = str(error.value)
+    assert all(x in said for x in ("config: training.max_steps is 0", "state: 200 tokens, not 250", "tokens-000002.bin: missing", "tokens-000000.bin: 10 ids outside the vocabulary, up to 9")), said
