@@ -232,6 +232,51 @@ def test_marks_are_judged_alike_in_batches_of_any_size(spark):
     assert results == [+want] * 4
 
 
+@given(st.lists(st.binary(max_size=160).map(lambda b: bytes(c % 2 for c in b)), min_size=1, max_size=8), st.integers(0, 3), st.data())
+@settings(max_examples=120, deadline=None)
+def test_steps_of_dedup_over_small_chunks(texts, repeats, data):
+    """All steps without Spark, texts in chunks of 37 bytes, marks combined at any time and judged in small batches."""
+    chosen = Settings(width=12, anchor=5)
+    texts = [t[:9] * 20 if i < repeats else t for i, t in enumerate(texts)]
+    ids = data.draw(st.permutations(range(len(texts))))
+    marks_schema = pa.schema([(c, pa.int64()) for c in ("m", "s", "kid", "tie", "start")] + [("n", pa.int32())])
+    found_schema = pa.schema([("copy", pa.bool_()), *[(c, pa.int64()) for c in ("m", "kid", "tie", "start")], ("n", pa.int32())])
+    rows = pa.RecordBatch.from_pydict({"kid": pa.array(ids, pa.int64()), "tie": pa.array([0] * len(ids), pa.int64()), "raw": pa.array(texts, pa.binary())})
+    chunk, combined = suffix_dedup.CHUNK, suffix_dedup.COMBINED
+    suffix_dedup.CHUNK, suffix_dedup.COMBINED = 37, data.draw(st.sampled_from([1, 100, 10_000]))
+    try:
+        at = data.draw(st.integers(0, len(texts)))
+        marks = pa.Table.from_batches(list(suffix_dedup._mark(iter([rows.slice(0, at), rows.slice(at)]), marks_schema, chosen)), marks_schema)
+    finally:
+        suffix_dedup.CHUNK, suffix_dedup.COMBINED = chunk, combined
+    marks = marks.sort_by([(c, "ascending") for c in ("m", "s", "kid", "tie", "start")])
+    parts = [b for b in marks.to_batches(max_chunksize=3) if b.num_rows]
+    found = [r for b in suffix_dedup._judge(iter(parts), found_schema) for r in b.to_pylist()]
+    text_of, runs = dict(zip(ids, texts)), Counter()
+    for r in found:
+        if r["copy"]:
+            runs[r["kid"], r["start"], r["n"]] += 1
+    wanted = sorted((r for r in found if not r["copy"]), key=lambda r: r["m"])
+    stretch = pa.RecordBatch.from_pydict({
+        **{c: pa.array([r[c] for r in wanted], pa.int64()) for c in ("m", "kid", "tie", "start")}, "n": pa.array([r["n"] for r in wanted], pa.int32()),
+        "raw": pa.array([text_of[r["kid"]][r["start"] : r["start"] + r["n"] + 11] for r in wanted], pa.binary()),
+    })
+    runs_schema = pa.schema([(c, pa.int64()) for c in ("kid", "tie", "start")] + [("n", pa.int32())])
+    for b in suffix_dedup._sort_blocks(iter([stretch]), runs_schema, chosen):
+        for r in b.to_pylist():
+            runs[r["kid"], r["start"], r["n"]] += 1
+    got = {i: suffix_dedup.merged([(a, a + n + 11) for k, a, n in runs if k == i]) for i in ids}
+    seen, want = set(), {}
+    for i in sorted(ids):
+        copies = []
+        for k in range(len(text_of[i]) - 11):
+            string = text_of[i][k : k + 12]
+            copies += [(k, k + 12)] if string in seen else []
+            seen.add(string)
+        want[i] = suffix_dedup.merged(copies)
+    assert got == want
+
+
 # ---- 13 ----
 def plain_middle(doc_id, text):
     units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text or "")
