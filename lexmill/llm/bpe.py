@@ -75,8 +75,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, decode_too: bool = False,
     """One row for each input row: doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers).
 
     With ``decode_too`` also ``bytes``, the raw bytes that the ids decode to. A null text counts as empty (no tokens).
-    Null ids and repeated rows are kept; other columns are not read. ``path`` must be readable on the executors. No
-    shuffle.
+    Whole texts of any length are encoded, in parts that no match spans; null ids and repeated rows are kept; other columns are not
+    read; an empty table gives an empty result. ``path`` must be readable on the executors. No shuffle.
     """
 
     def rows(batch: dict[str, list]) -> dict[str, list]:

@@ -101,14 +101,15 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
 
 
 def judged(ledger_rows: DataFrame, version: str = "v1") -> DataFrame:
-    """The ledger with ``kept``: whether no rule of the policy failed."""
+    """The ledger with ``kept``: whether no rule of the policy failed. A null id stays; bits are never null; no rows give no rows."""
     return ledger_rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
 
 
 def ablations(ledger_rows: DataFrame, version: str = "v1") -> DataFrame:
     """For each rule of a policy: how many documents fail it, fail it alone, and would be kept without it; one row a rule.
 
-    The ledger is first counted by its bits, of which there are at most two to the power of the rules.
+    The ledger is first counted by its bits, of which there are at most two to the power of the rules. Rows with a null id
+    and repeated rows count as any other; an empty ledger gives an empty result.
     """
     policy = mask(POLICIES[version])
     counts = ledger_rows.groupBy(F.col("failed").bitwiseAND(F.lit(policy)).alias("failed")).agg(F.count("*").alias("n"))

@@ -362,7 +362,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
 
 
 def read(spark: SparkSession, manifest: list[tuple[str, int, int, int]], use: Callable[[np.ndarray], object] | None = None, column: str = "ids", kind: str = "binary") -> DataFrame:
-    """One row for each document of the files: doc_id, start, n_tokens, and what ``use`` makes of its ids (default: their bytes)."""
+    """One row for each document of the files: doc_id, start, n_tokens, and what ``use`` makes of its ids (default: their bytes).
+
+    A null doc_id is null again, and a document that was null or empty has its end id alone. An empty manifest gives an empty table.
+    """
     schema = f"doc_id long, start long, n_tokens long, {column} {kind}"
     use = use or (lambda ids: ids.astype("<u4").tobytes())
     if not manifest:

@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row for each input row: doc_id, score (0 to 1), predicted (1 if the score is at least 0.5).
 
     A null, empty or wordless text gets the score of the bias alone. Whole texts of any length are scored, in one pass
-    with no shuffle. Null ids and repeated rows are kept; other columns are not read.
+    with no shuffle. Null ids and repeated rows are kept; other columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, score double, predicted int"
