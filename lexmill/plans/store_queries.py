@@ -81,10 +81,13 @@ def sampler_epochs(spark, sf_dir):
 
 @query(f"WITH {ARRIVED} SELECT arrival::BIGINT AS arrival, doc_id, sha256(text) AS text_sha256 FROM a")
 def indexed_lines(spark, sf_dir):
-    """Documents as JSONL, of which every line is read by its place, in a seeded order, through an index of byte offsets."""
-    folder = shared_path(spark, "lines")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.to_json(F.struct("doc_id", "text")).alias("value"))
-    commit.write(rows, f"{folder}/table", format="text")
+    """Documents as JSONL, of which every line is read by its place, in a seeded order, through an index of byte offsets.
+
+    Tasks read splits by their size and not in order, so rows go to ranges of doc_id before they are written.
+    """
+    folder, order = shared_path(spark, "lines"), F.col("doc_id").asc_nulls_last()
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartitionByRange(order).sortWithinPartitions(order)
+    commit.write(rows.select(F.to_json(F.struct("doc_id", "text")).alias("value")), f"{folder}/table", format="text")
     listed, index = indexed.build(spark, commit.current(spark, f"{folder}/table")["files"], f"{folder}/index")
     before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
     sizes = index.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))

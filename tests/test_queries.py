@@ -51,3 +51,27 @@ def test_shuffled_rows_are_in_the_seed_s_order(spark):
     rows = [r.doc_id for r in registry.queries()["shuffled_documents"](spark, DATA).collect()]
     turn = {r.doc_id: r.t for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("t")).collect()}
     assert rows == sorted(turn, key=lambda i: (turn[i], i)) != sorted(rows)
+
+
+@pytest.fixture(scope="module")
+def uneven(tmp_path_factory):
+    """Documents in six files, each greater than the one before: Spark reads the greatest first."""
+    folder = tmp_path_factory.mktemp("uneven")
+    (folder / "documents.parquet").mkdir()
+    for i in range(6):
+        duckdb.sql(f"SELECT * FROM '{DATA}/documents.parquet' WHERE doc_id >= {i * i * 5} AND doc_id < {(i + 1) ** 2 * 5} ORDER BY doc_id").write_parquet(str(folder / f"documents.parquet/{i}.parquet"))
+    return str(folder)
+
+
+def differing(spark, name, folder):
+    """How many rows the query and its SQL have over documents of several files, and how many differ."""
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = c.sql(registry.oracle_sql()[name])
+    got = {tuple(r) for r in registry.queries()[name](spark, folder).select(*want.columns).collect()}
+    rows = set(want.fetchall())
+    return len(rows), len(got ^ rows)
+
+
+def test_indexed_lines_of_files_that_are_read_out_of_order(spark, uneven):
+    assert differing(spark, "indexed_lines", uneven) == (180, 0)
