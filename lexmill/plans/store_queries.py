@@ -101,10 +101,14 @@ def indexed_lines(spark, sf_dir):
 
 @query(f"WITH {ARRIVED} SELECT (arrival + arrival // 10)::BIGINT AS line, doc_id, sha256(text) AS text_sha256 FROM a")
 def numbered_lines(spark, sf_dir):
-    """Documents as lines with a blank one after every ten, numbered over all files; blank lines count and are then left out."""
+    """Documents as lines with a blank one after every ten, numbered over all files; blank lines count and are then left out.
+
+    Tasks read splits by their size and not in order, so rows go to ranges of their arrival before they are written.
+    """
     folder = shared_path(spark, "blank-lines")
     made = F.to_json(F.struct("doc_id", "text"))
-    rows = in_order(spark, sf_dir, "doc_id", "text").select(F.explode(F.when(F.col("arrival") % 10 == 9, F.array(made, F.lit(""))).otherwise(F.array(made))).alias("value"))
+    placed = in_order(spark, sf_dir, "doc_id", "text").repartitionByRange("arrival").sortWithinPartitions("arrival")
+    rows = placed.select(F.explode(F.when(F.col("arrival") % 10 == 9, F.array(made, F.lit(""))).otherwise(F.array(made))).alias("value"))
     commit.write(rows, folder, format="text")
     found = files.lines(spark, commit.current(spark, folder)["files"])
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file

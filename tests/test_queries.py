@@ -75,3 +75,7 @@ def differing(spark, name, folder):
 
 def test_indexed_lines_of_files_that_are_read_out_of_order(spark, uneven):
     assert differing(spark, "indexed_lines", uneven) == (180, 0)
+
+
+def test_numbered_lines_of_files_that_are_read_out_of_order(spark, uneven):
+    assert differing(spark, "numbered_lines", uneven) == (180, 0)
