@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +29,10 @@ _P = np.uint64(PRIME)
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
-    """x modulo PRIME for x < 2^62."""
+    """x modulo PRIME for x < 2^63."""
     x = (x & _P) + (x >> np.uint64(31))
     x = (x & _P) + (x >> np.uint64(31))
-    return np.where(x >= _P, x - _P, x)
+    return np.minimum(x, x - _P)  # of less than PRIME the difference wraps around
 
 
 #: Code points that arrays are worked out for at a time; what a text keeps is 8 bytes a code point.
@@ -57,10 +57,16 @@ class _Powers:
     def inverses(self, n: np.ndarray) -> np.ndarray:
         """The inverse to the power of each number."""
         high = n >> 16
+        if not high.any():
+            return self.inverse_low[n]
         while len(self.inverse_high) <= (int(high.max()) if len(high) else 0):
             self.inverse_high = np.append(self.inverse_high, _mod(self.inverse_high[-1:] * self.step))
         return _mod(self.inverse_low[n & (CHUNK - 1)] * self.inverse_high[high])
 
+    def inverses_from(self, start: int, end: int) -> np.ndarray:
+        """The same for start to end - 1."""
+        return self.inverse_low[start:end] if end <= CHUNK else self.inverses(np.arange(start, end))
+
     def inverse(self, n: int) -> int:
         return int(self.inverse_low[n & (CHUNK - 1)]) * int(self.inverses(np.array([n & ~(CHUNK - 1)]))[0] if n >= CHUNK else 1) % PRIME
 
@@ -72,25 +78,65 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
 
 
+def _agreed(limit: int, same: Callable[[int], bool]) -> int:
+    """The greatest length up to the limit for which ``same`` holds, as it does for all shorter ones: by doubling, then bisection."""
+    held, k = 0, 1
+    while k <= limit and same(k):
+        held, k = k, 2 * k
+    return held + bisect.bisect_left(range(held + 1, min(k, limit + 1)), True, key=lambda x: not same(x))
+
+
 class PrefixHash:
     """Prefix arrays of a text; spans are [start, end) in code points."""
 
+    #: Mixed hashes of all spans of the fixed width, kept by ``fingerprint`` for texts of CHUNK code points at most.
+    mixed: np.ndarray | None = None
+
     def __init__(self, text: str):
         self.n = len(text)
         self.sums = [np.zeros(self.n + 1, np.uint32) for _ in _POWERS]
         for i in range(0, self.n, CHUNK):
             c = code_points(text[i : i + CHUNK])
             for powers, sums in zip(_POWERS, self.sums):
-                terms = _mod(c * powers.low[: len(c)])
+                terms = c * powers.low[: len(c)]
                 if i:
-                    terms = _mod(terms * np.uint64(pow(powers.base, i, PRIME)))
+                    terms = _mod(terms) * np.uint64(pow(powers.base, i, PRIME))
+                terms = (terms & _P) + (terms >> np.uint64(31))  # below 2^32, so that a chunk's sum is below 2^48
                 sums[i + 1 : i + 1 + len(c)] = _mod(np.cumsum(terms) + np.uint64(sums[i]))
 
+    @classmethod
+    def joined(cls, a: PrefixHash, k: int, b: PrefixHash, m: int) -> PrefixHash:
+        """Of the first k code points of one text and the first m of another, from their arrays.
+
+        Spans of the fixed width are taken over too where both are kept; only those across the seam are worked out.
+        """
+        out = cls("")
+        out.n = k + m
+        out.sums = [np.empty(out.n + 1, np.uint32) for _ in _POWERS]
+        for powers, s, t, sums in zip(_POWERS, a.sums, b.sums, out.sums):
+            shift, base = np.uint64(pow(powers.base, k, PRIME)), np.uint64(s[k])
+            sums[: k + 1] = s[: k + 1]
+            for i in range(1, m + 1, CHUNK):
+                part = t[i : min(i + CHUNK, m + 1)]
+                sums[k + i : k + i + len(part)] = _mod(part * shift + base)
+        if a.mixed is not None and b.mixed is not None and SPAN <= out.n <= CHUNK:
+            first, last = max(0, k - SPAN + 1), min(k, out.n - SPAN + 1)
+            out.mixed = np.concatenate([a.mixed[:first], mix64(out.windows(first, last)), b.mixed[: max(0, m - SPAN + 1)]])
+        return out
+
+    def windows(self, first: int, last: int) -> np.ndarray:
+        """``spans`` of the fixed width that start at first to last - 1."""
+        out = np.zeros(last - first, np.uint64)
+        for powers, s in zip(_POWERS, self.sums):
+            d = s[first + SPAN : last + SPAN].astype(np.uint64) + _P - s[first:last]
+            out = (out << np.uint64(31)) | _mod(d * powers.inverses_from(first, last))
+        return out
+
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """62-bit hashes of spans; equal spans have equal hashes wherever they stand."""
         out = np.zeros(len(starts), np.uint64)
         for powers, s in zip(_POWERS, self.sums):
-            out = (out << np.uint64(31)) | _mod(_mod(s[ends].astype(np.uint64) + _P - s[starts]) * powers.inverses(starts))
+            out = (out << np.uint64(31)) | _mod((s[ends].astype(np.uint64) + _P - s[starts]) * powers.inverses(starts))
         return out
 
     def span(self, start: int, end: int) -> int:
@@ -102,13 +148,11 @@ class PrefixHash:
 
     def extension(self, start: int, other: PrefixHash, other_start: int) -> int:
         """How many code points agree from the two places on: the longest common extension."""
-        lengths = range(1, min(self.n - start, other.n - other_start) + 1)
-        return bisect.bisect_left(lengths, True, key=lambda k: self.span(start, start + k) != other.span(other_start, other_start + k))
+        return _agreed(min(self.n - start, other.n - other_start), lambda k: self.span(start, start + k) == other.span(other_start, other_start + k))
 
     def extension_back(self, end: int, other: PrefixHash, other_end: int) -> int:
         """The same, backwards from the ends of two spans."""
-        lengths = range(1, min(end, other_end) + 1)
-        return bisect.bisect_left(lengths, True, key=lambda k: self.span(end - k, end) != other.span(other_end - k, other_end))
+        return _agreed(min(end, other_end), lambda k: self.span(end - k, end) == other.span(other_end - k, other_end))
 
 
 @lru_cache(maxsize=4096)
@@ -136,18 +180,25 @@ def fingerprint(text: str | PrefixHash) -> str:
     """``length-whole-prefixes-suffixes-spans`` in hexadecimal; equal texts have equal fingerprints."""
     h = text if isinstance(text, PrefixHash) else PrefixHash(text)
     g = grid(h.n)
-    zeros, last = np.zeros(len(g), np.int64), np.full(len(g), h.n)
-    least = np.empty(0, np.uint64)  # the least of the spans so far
-    for i in range(0, max(1, h.n - SPAN + 1), CHUNK):
-        starts = np.arange(i, min(i + CHUNK, max(1, h.n - SPAN + 1)))
-        spans = mix64(h.spans(starts, np.minimum(starts + SPAN, h.n)))
-        if len(least) == KEPT:
-            spans = spans[spans < least[-1]]
-        least = np.unique(np.concatenate([least, _least(spans)]))[:KEPT]
-    brief = lambda x: "".join(f"{v >> 32:08x}" for v in x.tolist())
-    return f"{h.n:x}-{h.span(0, h.n):016x}-{brief(mix64(h.spans(zeros, g)))}-{brief(mix64(h.spans(last - g, last)))}-{brief(least)}"
-
-
+    heads, tails = (h.sums[0][g].astype(np.uint64) << np.uint64(31)) | h.sums[1][g], h.spans(h.n - g, np.full(len(g), h.n))
+    if SPAN <= h.n <= CHUNK and h.mixed is None:
+        h.mixed = mix64(h.windows(0, h.n - SPAN + 1))
+    if h.mixed is not None:
+        least = _least(h.mixed)[:KEPT]
+    elif h.n < SPAN:
+        least = mix64(np.array([h.span(0, h.n)], np.uint64))
+    else:
+        least = np.empty(0, np.uint64)  # the least of the spans so far
+        for i in range(0, h.n - SPAN + 1, CHUNK):
+            spans = mix64(h.windows(i, min(i + CHUNK, h.n - SPAN + 1)))
+            if len(least) == KEPT:
+                spans = spans[spans < least[-1]]
+            least = np.unique(np.concatenate([least, _least(spans)]))[:KEPT]
+    brief = lambda x: (x >> np.uint64(32)).astype(">u4").tobytes().hex()
+    return f"{h.n:x}-{h.span(0, h.n):016x}-{brief(mix64(heads))}-{brief(mix64(tails))}-{brief(least)}"
+
+
+@lru_cache(maxsize=16)  # a fingerprint is compared up to three times in a row
 def _parse(mark: str) -> tuple[int, str, list[str], list[str], list[str]]:
     n, whole, *lists = mark.split("-")
     return int(n, 16), whole, *([x[i : i + 8] for i in range(0, len(x), 8)] for x in lists)
@@ -244,10 +295,11 @@ def _edit_along(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
                 _, own_id, own, own_h, own_mark = held
                 half = len(own) // 2
                 edited = own[: len(own) - half] + text[:half]
-                edited_h = own_h if edited == own else PrefixHash(edited)
+                seam = len(own) - half  # up to which own and edited text agree
+                edited_h = own_h if edited == own else PrefixHash.joined(own_h, seam, h, min(half, len(text)))
                 edited_mark = own_mark if edited == own else fingerprint(edited_h)
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                same = [f(*x) for other in (edited_h, h) for f, x in ((own_h.extension, (0, other, 0)), (own_h.extension_back, (own_h.n, other, other.n)))]
+                same = [at + own_h.extension(at, other, at) if f else own_h.extension_back(own_h.n, other, other.n) for other, at in ((edited_h, seam), (h, 0)) for f in (True, False)]
                 out.append((own_id, len(own), digest, own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark), *same))
             held = (part, doc_id, text, h, mark)
         columns = list(zip(*out)) or [()] * len(schema)

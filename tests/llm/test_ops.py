@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -226,6 +227,24 @@ def plain_fingerprint(text):
     return f"{n:x}-{span(0, n):016x}-{brief(span(0, k) for k in lengths)}-{brief(span(n - k, n) for k in lengths)}-" + "".join(f"{x >> 32:08x}" for x in sorted(spans)[:32])
 
 
+def test_edited_texts_are_hashed_from_the_arrays_of_their_parts(monkeypatch):
+    draw, n = random.Random(8), fingerprints.CHUNK
+    texts = ["".join(draw.choices("abä😀", k=k)) for k in (0, 1, 5, 23, 24, 25, 60, 300, 300, n, n + 30, 2 * n + 7)]
+    for a, b in itertools.product(texts, texts):
+        x, y = fingerprints.PrefixHash(a), fingerprints.PrefixHash(b)
+        if len(a) < 400:  # with and without spans that are kept
+            fingerprints.fingerprint(x), fingerprints.fingerprint(y)
+        k, m = len(a) - len(a) // 2, min(len(a) // 2, len(b))
+        got, want = fingerprints.PrefixHash.joined(x, k, y, m), fingerprints.PrefixHash(a[:k] + b[:m])
+        assert got.n == want.n and all((s == t).all() for s, t in zip(got.sums, want.sums))
+        assert fingerprints.fingerprint(got) == fingerprints.fingerprint(want)
+    hashed, plain = [], fingerprints.code_points
+    monkeypatch.setattr(fingerprints, "code_points", lambda text: hashed.append(text) or plain(text))
+    rows = pa.record_batch({"doc_id": pa.array([4, 3, 2], pa.int64()), "text": ["one text", "and another", "third"], "part": pa.array([0, 0, 0], pa.int32())})
+    list(fingerprints._edit_along(iter([rows]), pa.schema([("doc_id", pa.int64()), *[(f"c{i}", t) for i, t in enumerate([pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, *[pa.int64()] * 4])]])))
+    assert hashed == ["one text", "and another", "third"]
+
+
 def test_fingerprints_are_made_of_polynomial_hashes():
     draw = random.Random(6)
     for text in ("", "a", "ab", "é€😀" * 9, "x" * 300, "".join(draw.choices("ab ", k=200)), "".join(draw.choices("abcdefgh", k=700))):
